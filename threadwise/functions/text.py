@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
@@ -152,9 +152,3 @@ def preview(c: Column, n: int) -> Column:
     """First n characters of a table cell, with the column separator replaced."""
     return F.substring(F.replace(text_or_empty(c), F.lit("|"), F.lit("/")), 1, n)
 
-
-def minmax(score: Column, by: str) -> Column:
-    """Scale to [0, 1] among the rows of one query; all equal gives 0."""
-    w = Window.partitionBy(by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high > low, (score - low) / (high - low)).otherwise(F.lit(0.0))

@@ -1,0 +1 @@
+"""Operators put together into whole jobs."""
