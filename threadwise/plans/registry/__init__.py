@@ -1,0 +1,10 @@
+"""Queries on the sample tables, one per inventory item, with their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from threadwise.plans.registry import samples, texts, threads
+
+MODULES = (threads, texts, samples)
+
+QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
+SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
