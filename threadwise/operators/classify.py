@@ -21,14 +21,15 @@ def _strings(values: Sequence[str]) -> Column:
 # ---------------------------------------------------------------- context detector
 
 
-def context_hits(text: Column, lexicon: Lexicon, settings: Settings = Settings()) -> Column:
+def context_hits(tokens: Column, lexicon: Lexicon, settings: Settings = Settings()) -> Column:
     """Array of (term, note) for every strong or ambiguous term; an empty note means a trigger.
 
+    ``tokens`` must be a plain column of words: the lambdas below read it once per hit.
+
     A strong term counts unless a negation stands close before it. An ambiguous term needs one of
     its supporting words near by and none of its excluding words; the tests run in the order
     excluding, supporting, negation.
     """
-    tokens = X.words(text)
     terms = [*lexicon.strong, *lexicon.ambiguous]
     placed = F.filter(
         F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
@@ -85,7 +86,14 @@ def detect_context(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Add struct(is_safety, triggers, reason, method, ignored)."""
-    df = df.withColumn("_hits", context_hits(F.col(text), lexicon, settings))
+    # Most messages hold no listed term at all; those are not cut into words.
+    terms = [*lexicon.strong, *lexicon.ambiguous]
+    df = df.withColumn("_plain", F.lower(X.text_or_empty(F.col(text))))
+    some = X.any_contained(F.col("_plain"), terms)
+    df = df.withColumn(
+        "_words", F.when(some, X.words(F.col("_plain"))).otherwise(F.array().cast("array<string>"))
+    ).drop("_plain")
+    df = df.withColumn("_hits", context_hits(F.col("_words"), lexicon, settings))
     fired = F.filter("_hits", lambda h: h["note"] == "")
     df = df.withColumn(
         "_triggers", F.array_sort(F.array_distinct(F.transform(fired, lambda h: h["term"])))
@@ -111,17 +119,18 @@ def detect_context(
         F.lit(METHOD_RULES).alias("method"),
         F.when(found, F.array().cast("array<string>")).otherwise(F.col("_notes")).alias("ignored"),
     )
-    return df.withColumn(out, verdict).drop("_hits", "_triggers", "_notes")
+    return df.withColumn(out, verdict).drop("_words", "_hits", "_triggers", "_notes")
 
 
 def compare_detectors(
     df: DataFrame, lexicon: Lexicon, text: str = "text", safety: str = "safety"
 ) -> DataFrame:
     """Plain substring hits beside the context detector, and which of the two was right."""
-    df = df.withColumn("naive_hits", X.contained(F.lower(X.text_or_empty(F.col(text))), lexicon.naive))
+    df = df.withColumn("_low", F.lower(X.text_or_empty(F.col(text))))
+    df = df.withColumn("naive_hits", X.contained(F.col("_low"), lexicon.naive))
     naive, context = F.size("naive_hits") > 0, F.col(f"{safety}.is_safety")
     verdict = F.when(naive & ~context, "fixed").when(naive == context, "correct").otherwise("gain")
-    return df.withColumn("verdict", verdict)
+    return df.withColumn("verdict", verdict).drop("_low")
 
 
 # ---------------------------------------------------------------- rule classifier
@@ -177,7 +186,7 @@ def classify_rules(
         }
     )
     names = _strings(lexicon.taxonomy)
-    low = F.lower(X.text_or_empty(F.col(text)))
+    low = F.col("_low")
     at_override = lexicon.taxonomy.index(lexicon.override_label)
     # The winning label decides which keyword list is searched, so one list is tried per row.
     hits = F.array().cast("array<string>")
@@ -195,6 +204,7 @@ def classify_rules(
         ", ",
     )
     nothing = F.col("_top") == 0
+    df = df.withColumn("_low", F.lower(X.text_or_empty(F.col(text))))
     df = df.withColumn("_found", F.when(~nothing, hits))
     df = df.withColumn(
         "_intent", F.when(nothing, lexicon.default_label).otherwise(F.get(names, F.col("_first")))
@@ -228,7 +238,7 @@ def classify_rules(
         ),
     ).drop(
         "_safety", "_scores", "_ranked", "_total", "_top", "_first", "_second", "_found",
-        "_intent", "_conf",
+        "_intent", "_conf", "_low",
     )
 
 
@@ -241,12 +251,10 @@ def needs_context(confidence: Column, settings: Settings = Settings()) -> Column
 
 def frustration(df: DataFrame, lexicon: Lexicon, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Add the frustration markers found and whether there are enough to matter."""
-    df = df.withColumn(
-        "frustration_hits", X.contained(F.lower(X.text_or_empty(F.col(text))), lexicon.frustration)
-    )
-    return df.withColumn(
-        "frustrated", F.size("frustration_hits") >= settings.frustration_markers
-    )
+    df = df.withColumn("_low", F.lower(X.text_or_empty(F.col(text))))
+    df = df.withColumn("frustration_hits", X.contained(F.col("_low"), lexicon.frustration))
+    enough = F.size("frustration_hits") >= settings.frustration_markers
+    return df.withColumn("frustrated", enough).drop("_low")
 
 
 def deflection(c: Column, lexicon: Lexicon) -> Column:

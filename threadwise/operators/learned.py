@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from threadwise.config import Settings
 from threadwise.operators.retrieval import terms
 from threadwise.operators.sampling import class_weights
+from threadwise.session import reliable
 
 
 def _with_terms(df: DataFrame, text: str, stop: Sequence[str]) -> DataFrame:
@@ -37,9 +38,12 @@ def train_text_classifier(
     settings: Settings = Settings(),
 ) -> PipelineModel:
     """Fit on (text, label) with balanced class weights n / (K * count) over labels present."""
-    present = [r[0] for r in class_weights(train, label, taxonomy).where("n > 0").select(label).collect()]
-    weights = class_weights(train.where(F.col(label).isin(present)), label, present)
-    rows = _with_terms(train, text, stop).join(F.broadcast(weights.select(label, "weight")), label)
+    # every fit below passes over the training rows, so they are written once
+    rows = reliable(_with_terms(train, text, stop).select(label, "_terms"))
+    counted = class_weights(rows, label, taxonomy).where("n > 0").select(label, "n").collect()
+    present, total = [r[0] for r in counted], sum(r[1] for r in counted)
+    weights = class_weights(rows.where(F.col(label).isin(present)), label, present)
+    rows = rows.join(F.broadcast(weights.select(label, "weight")), label)  # one row per label
     counts = CountVectorizer(
         inputCol="_terms", outputCol="_tf", vocabSize=settings.max_features, minDF=settings.min_df
     ).fit(rows)
@@ -53,7 +57,7 @@ def train_text_classifier(
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     fitted = LogisticRegression(
         featuresCol="features", labelCol="_y", weightCol="weight", predictionCol="_yhat",
-        maxIter=max_iter, regParam=1.0 / max(train.count(), 1), standardization=False,
+        maxIter=max_iter, regParam=1.0 / max(total, 1), standardization=False,
         family="multinomial",
     ).fit(index.transform(unit.transform(scale.transform(counted))))
     name = IndexToString(inputCol="_yhat", outputCol="prediction", labels=index.labels)

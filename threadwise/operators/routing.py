@@ -29,9 +29,8 @@ def route(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Add struct(decision, reason) from safety, frustration, confidence and repeat contact."""
-    df = df.withColumn(
-        "_marks", X.contained(F.lower(X.text_or_empty(F.col(text))), lexicon.frustration)
-    )
+    df = df.withColumn("_low", F.lower(X.text_or_empty(F.col(text))))
+    df = df.withColumn("_marks", X.contained(F.col("_low"), lexicon.frustration))
     conf, intent = F.col(f"{classification}.confidence"), F.col(f"{classification}.intent")
     unsafe, why = F.col(f"{safety}.is_safety"), F.col(f"{safety}.reason")
     marks, contacts = F.size("_marks"), F.coalesce(F.col(depth), F.lit(0))
@@ -85,7 +84,7 @@ def route(
     )
     return df.withColumn(
         out, F.struct(decision.alias("decision"), reason.alias("reason"))
-    ).drop("_marks", "_reasons")
+    ).drop("_low", "_marks", "_reasons")
 
 
 def escalate(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadwise.plans.registry import samples, texts, threads
+from threadwise.plans.registry import classify, samples, search, texts, threads
 
-MODULES = (threads, texts, samples)
+MODULES = (threads, texts, samples, classify, search)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -38,13 +38,14 @@ def squish(x: str) -> str:
 
 
 def collapse(x: str) -> str:
-    """Runs of three or more keep one: a character equal to its left neighbour goes if a third
-    equal one stands beside the two."""
-    c = f"string_split({x}, '')"
-    return (
-        f"array_to_string(list_filter({c}, lambda ch, i: NOT (i > 1 AND ch <> chr(10) AND {c}[i-1] = ch "
-        f"AND ((i > 2 AND {c}[i-2] = ch) OR (i < len({c}) AND {c}[i+1] = ch)))), '')"
-    )
+    """Runs of three or more of one character keep one. RE2 has no back-references, so the
+    characters are listed, nine to a pass."""
+    chars = [chr(i) for i in range(32, 127)] + list("àâäáæçéèêëíìîïñóòôöœßúùûüÿÀÂÄÉÈÊÍÎÏÑÓÔÖÚÛÜ—–…·•★█\t")
+    for at in range(0, len(chars), 9):
+        part = [c if c.isalnum() else "\\" + c if ord(c) < 127 and c != "\t" else c for c in chars[at : at + 9]]
+        pattern = "|".join(f"({c}){c}{{2,}}" for c in part)
+        x = f"regexp_replace({x}, {q(pattern)}, '{''.join(chr(92) + str(i + 1) for i in range(len(part)))}', 'g')"
+    return x
 
 
 def expand(x: str, abbreviations) -> str:
@@ -88,28 +89,18 @@ def two(x: str) -> str:
 # ---------------------------------------------------------------- context detector in SQL
 
 
-def triggers(w: str, lex: Lexicon = L) -> str:
-    """Positions of ``w`` (a word list) that trigger, as a sorted distinct list of words."""
-    near, neg = 4, 3
-    window = f"{w}[greatest(i-{near}, 1):i+{near}]"
-    before = (
-        f"(CASE WHEN i > 1 THEN list_transform({w}[greatest(i-{neg}, 1):i-1], lambda z: replace(z, '''', '')) "
-        f"ELSE CAST([] AS VARCHAR[]) END)"
-    )
-    calm = f"NOT list_has_any({before}, {lst(lex.negations)})"
-    tests = [f"list_contains({lst(lex.strong)}, {w}[i])"]
+def fires(lex: Lexicon = L) -> str:
+    """Whether word ``t`` triggers, given ``near`` (4 words either side) and ``before`` (3 words)."""
+    before = "list_transform(coalesce(before, CAST([] AS VARCHAR[])), lambda z: replace(z, '''', ''))"
+    tests = [f"t IN ({', '.join(q(w) for w in lex.strong)})"]
     for term, (wanted, unwanted) in lex.ambiguous.items():
-        cond = f"{w}[i] = {q(term)}"
+        cond = f"t = {q(term)}"
         if unwanted:
-            cond += f" AND NOT list_has_any({window}, {lst(unwanted)})"
+            cond += f" AND NOT list_has_any(near, {lst(unwanted)})"
         if wanted:
-            cond += f" AND list_has_any({window}, {lst(wanted)})"
+            cond += f" AND list_has_any(near, {lst(wanted)})"
         tests.append(f"({cond})")
-    hit = f"({' OR '.join(tests)}) AND {calm}"
-    return (
-        f"list_sort(list_distinct(list_transform(list_filter(range(1, len({w}) + 1), lambda i: {hit}), "
-        f"lambda i: {w}[i])))"
-    )
+    return f"({' OR '.join(tests)}) AND NOT list_has_any({before}, {lst(lex.negations)})"
 
 
 def words(x: str) -> str:
@@ -132,9 +123,19 @@ def classified(source: str, key: str, text: str = "text", lex: Lexicon = L) -> s
     ranks = ", ".join(f"s{i} * 100 + {k - 1 - i}" for i in range(k))
     total = " + ".join(f"s{i}" for i in range(k))
     names = lst(lex.taxonomy)
+    terms = ", ".join(q(t) for t in (*lex.strong, *lex.ambiguous))
     return f"""
-c_words AS (SELECT {key}, lower(coalesce({text}, '')) AS low, {words(text)} AS w FROM {source}),
-c_trig AS (SELECT {key}, low, {triggers('w')} AS trig FROM c_words),
+c_words AS (SELECT {key}, lower(coalesce({text}, '')) AS low, {words(text)} AS w,
+              row_number() OVER () AS c_id FROM {source}),
+c_tok AS (SELECT c_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM c_words),
+c_win AS (SELECT c_id, t,
+            list(t) OVER (PARTITION BY c_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS near,
+            list(t) OVER (PARTITION BY c_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before
+          FROM c_tok),
+c_hit AS (SELECT c_id, list_sort(list(DISTINCT t)) AS trig FROM c_win
+          WHERE t IN ({terms}) AND {fires(lex)} GROUP BY c_id),
+c_trig AS (SELECT {key}, low, coalesce(trig, CAST([] AS VARCHAR[])) AS trig
+           FROM c_words LEFT JOIN c_hit USING (c_id)),
 c_scores AS (SELECT {key}, low, trig, {', '.join(raw)} FROM c_trig),
 c_rank AS (SELECT *, list_reverse_sort([{ranks}]) AS r, {total} AS total FROM c_scores),
 c_out AS (
