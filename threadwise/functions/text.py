@@ -34,15 +34,22 @@ def norm_key(c: Column) -> Column:
 def collapse_repeats(c: Column, letters_only: bool = False) -> Column:
     """Three or more of one character in a row become one."""
     unit = r"(\p{L})" if letters_only else r"([^\n])"
-    return F.regexp_replace(c, unit + r"\1{2,}", "$1")
+    return F.regexp_replace(c, unit + r"\1\1+", "$1")
 
 
 def expand(c: Column, abbreviations: Mapping[str, str]) -> Column:
-    """Replace whole-word abbreviations, in the order of the mapping."""
-    for short, full in abbreviations.items():
-        if short != full:
-            c = F.regexp_replace(c, rf"(?<![{WORD}]){short}(?![{WORD}])", full)
-    return c
+    """Replace whole-word abbreviations, in the order of the mapping.
+
+    One search decides whether a text holds any of them, so most texts skip the replacements.
+    """
+    changing = {short: full for short, full in abbreviations.items() if short != full}
+    if not changing:
+        return c
+    done = c
+    for short, full in changing.items():
+        done = F.regexp_replace(done, rf"{short}(?<![{WORD}]{short})(?![{WORD}])", full)
+    some = c.rlike(rf"(?<![{WORD}])(?:{'|'.join(changing)})(?![{WORD}])")
+    return F.when(some, done).otherwise(c)
 
 
 def clean_text(
@@ -57,8 +64,8 @@ def clean_text(
     if drop_handles:
         t = F.regexp_replace(t, f"@[{WORD}]+", " ")
     t = expand(F.lower(collapse_repeats(t, letters_only)), abbreviations)
-    t = F.regexp_replace(t, rf"(?U)[^{WORD}{SPACE}'#$/.,!?%-]", " ")
-    return squish(t)
+    # a run of stray symbols and white space becomes one blank
+    return F.trim(F.regexp_replace(t, rf"[^{WORD}'#$/.,!?%-]+", " "))
 
 
 def words(c: Column) -> Column:

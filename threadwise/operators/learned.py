@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwise.config import Settings
-from threadwise.operators.retrieval import terms
+from threadwise.operators.retrieval import with_terms
 from threadwise.operators.sampling import class_weights
 from threadwise.session import reliable
 
 
 def _with_terms(df: DataFrame, text: str, stop: Sequence[str]) -> DataFrame:
-    return df.withColumn("_terms", terms(F.lower(F.coalesce(F.col(text), F.lit(""))), stop))
+    rows = df.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
+    return with_terms(rows, "_raw", "_terms", stop).drop("_raw")
 
 
 def train_text_classifier(

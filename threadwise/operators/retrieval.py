@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
@@ -25,27 +25,40 @@ class TfidfModel:
     abbreviations: Mapping[str, str] = field(default_factory=lambda: dict(fixed.ABBREVIATIONS))
     settings: Settings = Settings()
 
-    def terms(self, text: Column) -> Column:
-        return terms(X.clean_text(text, abbreviations=self.abbreviations), self.stop)
+    def with_terms(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """Add the terms of a raw text."""
+        cleaned = X.clean_text(F.col(text), abbreviations=self.abbreviations)
+        return with_terms(df.withColumn("_clean", cleaned), "_clean", out, self.stop).drop("_clean")
 
 
-def terms(cleaned: Column, stop: Sequence[str]) -> Column:
-    """Words of two or more characters without stop words, and the pairs of neighbours left."""
+def with_terms(df: DataFrame, cleaned: str, out: str, stop: Sequence[str]) -> DataFrame:
+    """Add words of two or more characters without stop words, and the pairs of neighbours left.
+
+    Each step is a column of its own: it is read several times below and must not be repeated.
+    """
     found = F.regexp_extract_all(F.lower(cleaned), F.lit(f"([{X.WORD}]{{2,}})"), F.lit(1))
-    kept = F.filter(found, lambda t: ~t.isin(list(stop))) if stop else found
-    n = F.size(kept)
+    df = df.withColumn("_found", found)
+    kept = F.filter("_found", lambda t: ~t.isin(list(stop))) if stop else F.col("_found")
+    df = df.withColumn("_kept", kept)
+    left = F.greatest(F.size("_kept") - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(kept, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(kept, 2, F.greatest(n - 1, F.lit(0))),
+        F.slice("_kept", 1, left),
+        F.slice("_kept", 2, left),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.concat(kept, pairs)
+    return df.withColumn(out, F.concat("_kept", pairs)).drop("_found", "_kept")
+
 
+def _counts(df: DataFrame, key: str, text: str, model: TfidfModel, extra: Sequence[str]) -> DataFrame:
+    """(key, extra, term, tf). The texts are shuffled once by key; counting then needs no shuffle.
 
-def _counts(df: DataFrame, key: str, text: Column, model: TfidfModel, extra: Sequence[str]) -> DataFrame:
-    """(key, extra, term, tf). The texts are shuffled once by key; counting then needs no shuffle."""
-    placed = df.select(key, *extra, text.alias("_text")).repartition(key)
-    exploded = placed.select(key, *extra, F.explode(model.terms(F.col("_text"))).alias("term"))
+    The number of partitions is stated because what follows is many times larger than the texts,
+    which is what adaptive coalescing would go by.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(key, *extra, F.col(text).alias("_text")).repartition(parts, key)
+    placed = model.with_terms(placed, "_text", "_terms")
+    exploded = placed.select(key, *extra, F.explode("_terms").alias("term"))
     return exploded.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -61,7 +74,7 @@ def fit_tfidf(
     idf = ln((1 + n) / (1 + df)) + 1. The vocabulary is written to the shared folder."""
     blank = TfidfModel(corpus.limit(0), 0, tuple(stop), dict(abbreviations), settings)
     n_docs = corpus.count()
-    seen = _counts(corpus, key, F.col(text), blank, ())
+    seen = _counts(corpus, key, text, blank, ())
     totals = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = (
         totals.where(F.col("df") >= settings.min_df)
@@ -83,7 +96,7 @@ def transform_tfidf(
     The result is partitioned by ``key``: the vocabulary is broadcast and the norm runs over one
     text's terms, so the texts themselves are all that is shuffled.
     """
-    counted = _counts(df, key, F.col(text), model, extra)
+    counted = _counts(df, key, text, model, extra)
     vocab = F.broadcast(model.vocab.select("term", "term_id", "idf"))
     weighed = counted.join(vocab, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
@@ -164,22 +177,20 @@ def pad_hits(
     A short list holds fewer than k documents, so the first 2k ids always contain enough others.
     """
     first = corpus.orderBy(doc).limit(2 * k).agg(F.sort_array(F.collect_list(doc)))
-    got = hits.groupBy(query).agg(F.collect_list(doc).alias("_got"))
-    none = F.array().cast(hits.select(F.array(doc)).schema[0].dataType)
-    short = (
-        queries.distinct()
-        .join(got, query, "left")
-        .withColumn("_got", F.coalesce("_got", none))
-        .where(F.size("_got") < k)
-        .withColumn("_first", first.scalar())
-    )
-    more = F.slice(F.array_except("_first", "_got"), 1, k - F.size("_got"))
-    filled = short.select(query, F.size("_got").alias("_n"), F.posexplode(more).alias("_p", doc))
-    return hits.select(query, doc, "score", "rank").unionByName(
-        filled.select(
-            query, doc, F.lit(0.0).alias("score"), (F.col("_n") + F.col("_p") + 1).alias("rank")
-        )
+    hit = F.struct(F.col("rank"), F.col(doc), F.col("score"))
+    got = hits.groupBy(query).agg(F.sort_array(F.collect_list(hit)).alias("_hits"))  # at most k
+    rows = queries.distinct().join(got, query, "left").withColumn("_first", first.scalar())
+    none = F.array().cast(got.schema["_hits"].dataType)
+    rows = rows.withColumn("_hits", F.coalesce("_hits", none))
+    others = F.filter("_first", lambda d: ~F.exists("_hits", lambda h: h[doc] == d))
+    more = F.transform(
+        F.slice(others, 1, k - F.size("_hits")),
+        lambda d, i: F.struct(
+            (F.size("_hits") + i + 1).alias("rank"), d.alias(doc), F.lit(0.0).alias("score")
+        ),
     )
+    full = rows.select(query, F.inline(F.concat("_hits", more.cast(got.schema["_hits"].dataType))))
+    return full.select(query, doc, "score", "rank")
 
 
 def attach_texts(hits: DataFrame, corpus: DataFrame, doc: str = "pair_id") -> DataFrame:

@@ -73,7 +73,7 @@ def h5_escalation_records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("escalation.reason").alias("reason"),
         F.when(F.col("safety.is_safety"), "YES").otherwise("no").alias("safety_status"),
     )
-    records = ops.escalation_records(heads, sq.lexical(spark, sf, pad=True))
+    records = ops.escalation_records(heads, sq.lexical(spark, sf, pad=True)[1])
     evidence = F.transform(
         "retrieved_evidence", lambda e: F.concat(e["pair_id"], F.lit("="), e["score"].cast("decimal(6,4)").cast("string"))
     )

@@ -5,52 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadwise.config import Settings
 from threadwise.operators import dense, drafts
 from threadwise.operators import retrieval as ops
 from threadwise.plans.registry import common as c
 from threadwise.plans.registry.classify import deflection_sql
 from threadwise.plans.registry.common import L, STOP, table
+from threadwise.session import reliable
 
 # ---------------------------------------------------------------- queries
 
 
-def model(spark: SparkSession, sf: str) -> ops.TfidfModel:
-    return ops.fit_tfidf(c.pairs(spark, sf), "pair_id", "customer_msg", STOP)
+def space(
+    spark: SparkSession, sf: str, settings: Settings = Settings()
+) -> tuple[DataFrame, ops.TfidfModel]:
+    """The corpus, written once, and the space fitted on it."""
+    corpus = reliable(c.pairs(spark, sf))
+    return corpus, ops.fit_tfidf(corpus, "pair_id", "customer_msg", STOP, settings=settings)
 
 
 def f1_fit_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    return model(spark, sf).vocab.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+    _, m = space(spark, sf)
+    return m.vocab.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def f2_transform_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    m = model(spark, sf)
+    _, m = space(spark, sf)
     posts = ops.transform_tfidf(m, c.turns(spark, sf, "assistant"), "query_id", "text")
     return posts.join(m.vocab.select("term_id", "term"), "term_id").select(
         "query_id", "term", F.round("weight", 6).alias("weight")
     )
 
 
-def lexical(spark: SparkSession, sf: str, pad: bool = False) -> DataFrame:
-    return ops.topk_lexical(model(spark, sf), c.turns(spark, sf), c.pairs(spark, sf), 3, pad=pad)
+def lexical(spark: SparkSession, sf: str, pad: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(corpus, best 3 hits per customer turn)."""
+    corpus, m = space(spark, sf)
+    return corpus, ops.topk_lexical(m, c.turns(spark, sf), corpus, 3, pad=pad)
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    corpus, hits = lexical(spark, sf, pad=True)
+    return ops.attach_texts(hits, corpus)
 
 
 def f3_topk_lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical(spark, sf, pad=True).select("query_id", "pair_id", "score", "rank")
+    return lexical(spark, sf, pad=True)[1].select("query_id", "pair_id", "score", "rank")
 
 
-def lsa_model(spark: SparkSession, sf: str, components: int = 20) -> dense.LsaModel:
-    m = ops.fit_tfidf(
-        c.pairs(spark, sf), "pair_id", "customer_msg", STOP, settings=ops.Settings(lsa_components=components)
-    )
-    return dense.fit_lsa(m, c.pairs(spark, sf), "pair_id", "customer_msg")
+def lsa_model(spark: SparkSession, sf: str, components: int = 20) -> tuple[DataFrame, dense.LsaModel]:
+    corpus, m = space(spark, sf, Settings(lsa_components=components))
+    return corpus, dense.fit_lsa(m, corpus, "pair_id", "customer_msg")
 
 
 def f4_topk_lsa(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.topk_lsa(lsa_model(spark, sf), c.turns(spark, sf), c.pairs(spark, sf))
+    corpus, lsa = lsa_model(spark, sf)
+    return dense.topk_lsa(lsa, c.turns(spark, sf), corpus)
 
 
 def f5_topk_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.topk_hybrid(lsa_model(spark, sf), c.turns(spark, sf), c.pairs(spark, sf))
+    corpus, lsa = lsa_model(spark, sf)
+    return dense.topk_hybrid(lsa, c.turns(spark, sf), corpus)
 
 
 def f6_topk_dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +78,7 @@ def f6_topk_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f7_topk_auto(spark: SparkSession, sf: str) -> DataFrame:
-    name, hits = ops.topk_auto(tfidf=lexical(spark, sf), dense=None)
+    name, hits = ops.topk_auto(tfidf=lexical(spark, sf)[1], dense=None)
     return hits.groupBy("method").agg(F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit(name))
 
 
@@ -77,15 +91,13 @@ def verified(spark: SparkSession, sf: str, m: ops.TfidfModel) -> DataFrame:
 
 
 def f8_retrieve_verified(spark: SparkSession, sf: str) -> DataFrame:
-    hits = verified(spark, sf, model(spark, sf))
+    hits = verified(spark, sf, space(spark, sf)[1])
     return hits.select("query_id", "pair_id", "score", "rank", "source", "memory_intent")
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    m = model(spark, sf)
-    historical = ops.attach_texts(
-        ops.topk_lexical(m, c.turns(spark, sf), c.pairs(spark, sf), 3), c.pairs(spark, sf)
-    )
+    corpus, m = space(spark, sf)
+    historical = ops.attach_texts(ops.topk_lexical(m, c.turns(spark, sf), corpus, 3), corpus)
     return ops.merge_layers(historical, verified(spark, sf, m), 3)
 
 
@@ -94,11 +106,12 @@ def f9_merge_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f10_retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    labels = c.classify(c.pairs(spark, sf), "customer_msg").select(
+    corpus, found = lexical(spark, sf, pad=True)
+    labels = c.classify(corpus, "customer_msg").select(
         "pair_id", F.col("classification.intent").alias("hit_label")
     )
     truth = asked(spark, sf).select("query_id", F.col("intent").alias("true_label"))
-    hits = lexical(spark, sf, pad=True).join(labels, "pair_id")
+    hits = found.join(labels, "pair_id")
     out = ops.retrieval_metrics(hits, truth, 3, by=["method"])
     return out.select(
         "method", "n_queries", F.round("intent_match_at_3", 6).alias("intent_match_at_3"),
@@ -117,8 +130,7 @@ def f11_memory_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g1_draft_from_templates(spark: SparkSession, sf: str) -> DataFrame:
-    hits = ops.attach_texts(lexical(spark, sf, pad=True), c.pairs(spark, sf))
-    out = drafts.draft_from_templates(asked(spark, sf), hits, L)
+    out = drafts.draft_from_templates(asked(spark, sf), evidence(spark, sf), L)
     return out.select("query_id", "draft", "cited_example_id", "justification", "method")
 
 
@@ -127,8 +139,7 @@ def checked(spark: SparkSession, sf: str) -> DataFrame:
     rows = asked(spark, sf).withColumn(
         "draft", F.when(F.length("text") % 3 == 0, link).when(F.length("text") % 3 == 1, F.col("text")).otherwise("so it is")
     )
-    hits = ops.attach_texts(lexical(spark, sf, pad=True), c.pairs(spark, sf))
-    return drafts.verify_drafts(rows, hits, L)
+    return drafts.verify_drafts(rows, evidence(spark, sf), L)
 
 
 def g2_verify_drafts(spark: SparkSession, sf: str) -> DataFrame:
