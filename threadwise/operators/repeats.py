@@ -98,7 +98,8 @@ def _restated(msgs: DataFrame, key: str, order: str, settings: Settings) -> Data
         ),
         F.transform(prefix("con", by_words), lambda t: F.concat(F.lit("c "), t)),
     )
-    posts = sets.select(key, order, F.struct("tok", "con").alias("me"), F.explode(tagged).alias("_sig"))
+    posts = sets.select(key, order, F.struct("tok", "con").alias("me"), F.explode_outer(tagged).alias("_sig"))
+    posts = posts.where("_sig IS NOT NULL")
     earlier = posts.select(
         key, "_sig", F.col(order).alias("_earlier"), F.col("me").alias("_them")
     )

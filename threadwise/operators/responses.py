@@ -49,7 +49,8 @@ def extract_json(df: DataFrame, raw: str, out: str = "json") -> DataFrame:
     Fences go first. A text which is JSON as a whole is recognised JVM-side; only the others reach
     the Python scan for a balanced object.
     """
-    bare = F.trim(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "```(?:json)?|```", ""))
+    bare = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "```(?:json)?|```", "")
+    bare = F.btrim(bare, F.lit(" \t\r\n\f"))
     df = df.withColumn("_bare", bare).withColumn(
         "_whole", F.try_parse_json("_bare").isNotNull() & (F.col("_bare") != "")
     )
@@ -86,7 +87,7 @@ def apply_responses(
         return F.when(known, c).otherwise(F.lit(lexicon.default_label))
 
     number = F.coalesce(F.col("_r.confidence"), F.lit("0.5")).try_cast("double")
-    is_object = F.coalesce(F.ltrim("_json").startswith("{"), F.lit(False))
+    is_object = F.coalesce(F.col("_json").startswith("{"), F.lit(False))
     usable = is_object & number.isNotNull()
     intent = label(F.col("_r.intent"))
     confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 3)

@@ -58,8 +58,9 @@ def _counts(df: DataFrame, key: str, text: str, model: TfidfModel, extra: Sequen
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.select(key, *extra, F.col(text).alias("_text")).repartition(parts, key)
     placed = model.with_terms(placed, "_text", "_terms")
-    exploded = placed.select(key, *extra, F.explode("_terms").alias("term"))
-    return exploded.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A plain explode would infer a filter on the array and cut every text a second time below it.
+    exploded = placed.select(key, *extra, F.explode_outer("_terms").alias("term"))
+    return exploded.where("term IS NOT NULL").groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit_tfidf(

@@ -13,6 +13,7 @@ from threadwise.plans.registry import classify as cq
 from threadwise.plans.registry import common as c
 from threadwise.plans.registry import search as sq
 from threadwise.plans.registry.common import L, table
+from threadwise.session import reliable
 
 
 def routed(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +64,10 @@ def h4_feedback_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h5_escalation_records(spark: SparkSession, sf: str) -> DataFrame:
-    rows = escalated(spark, sf).where("escalation.route = 'HUMAN'")
+    # Decisions are written before they are filtered: a filter on a computed decision would be pushed
+    # below it and compute everything it depends on again.
+    needed = ["conv_id", "turn", "query_id", "text", "classification", "safety", "escalation"]
+    rows = reliable(escalated(spark, sf).select(*needed)).where("escalation.route = 'HUMAN'")
     history = with_history(table(spark, sf, "conversations"), last_n=5).select("conv_id", "turn", "history")
     heads = rows.join(history, ["conv_id", "turn"]).select(
         "query_id",
