@@ -112,3 +112,103 @@ def apply_responses(
             .otherwise(F.col(classification))
         )
     return joined.withColumn(classification, result).drop("_json", "_r", "_given", "provider")
+
+
+def _parsed(responses: DataFrame, key: str, schema: str) -> DataFrame:
+    """(key, _r, _given, provider): the fields of each key's response, null where none was found."""
+    one = first_per(responses.select(key, "raw", "provider"), [key], ["provider", "raw"])
+    found = extract_json(one, "raw", "_json")
+    is_object = F.coalesce(F.col("_json").startswith("{"), F.lit(False))
+    return found.select(
+        key,
+        F.when(is_object, F.from_json("_json", schema)).alias("_r"),
+        F.lit(True).alias("_given"),
+        "provider",
+    )
+
+
+def _pick(usable: Column, model: Column, rules: str, mode: str) -> Column:
+    """The model's answer, or the rule result with a method that says what happened."""
+    if mode == "model":
+        return F.when(usable, model)
+    failed = F.col(rules).withField("method", F.lit("rules (llm_error: bad_response)"))
+    return (
+        F.when(F.coalesce(usable, F.lit(False)), model)
+        .when(F.col("_given"), failed)
+        .otherwise(F.col(rules))
+    )
+
+
+def apply_safety_responses(
+    rules: DataFrame, responses: DataFrame | None, key: str = "id", safety: str = "safety", mode: str = "auto"
+) -> DataFrame:
+    """Replace context verdicts by model verdicts {safety, trigger, reason} where one is usable."""
+    if mode == "rules" or responses is None:
+        return rules
+    parsed = _parsed(responses, key, "safety STRING, trigger STRING, reason STRING")
+    joined = rules.join(parsed, key, "left")
+    flag = F.coalesce(F.col("_r.safety"), F.lit("0"))
+    number = F.when(flag == "true", 1).when(flag == "false", 0).otherwise(flag.try_cast("double").cast("int"))
+    fired, told = number != 0, F.trim(F.coalesce("_r.reason", F.lit("")))
+    trigger = F.trim(F.coalesce("_r.trigger", F.lit("")))
+    none = F.array().cast("array<string>")
+    model = F.struct(
+        fired.alias("is_safety"),
+        F.when(trigger != "", F.array(trigger)).otherwise(none).alias("triggers"),
+        F.when(told != "", told)
+        .otherwise(F.when(fired, "safety incident").otherwise("no safety signal"))
+        .alias("reason"),
+        F.concat(F.lit("llm:"), F.coalesce("provider", F.lit("table"))).alias("method"),
+        none.alias("ignored"),
+    )
+    usable = F.col("_r").isNotNull() & number.isNotNull()
+    return joined.withColumn(safety, _pick(usable, model, safety, mode)).drop("_r", "_given", "provider")
+
+
+def apply_dissatisfaction_responses(
+    rules: DataFrame,
+    responses: DataFrame | None,
+    key: str = "id",
+    explicit: str = "explicit",
+    out: str = "dissatisfaction",
+    mode: str = "auto",
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Replace rule results by model results {dissatisfied, score, reason} where one is usable.
+
+    Feedback ``helpful`` and ``human_request`` decides alone; ``not_helpful`` lifts the score.
+    """
+    if mode == "rules" or responses is None:
+        return rules
+    parsed = _parsed(responses, key, "dissatisfied STRING, score STRING, reason STRING")
+    joined = rules.join(parsed, key, "left")
+    said = F.coalesce(F.col(explicit), F.lit(""))
+    flag = F.coalesce(F.col("_r.dissatisfied"), F.lit("0"))
+    number = F.when(flag == "true", 1).when(flag == "false", 0).otherwise(flag.try_cast("double").cast("int"))
+    given = F.coalesce(F.col("_r.score"), F.lit("0")).try_cast("double")
+    down = said == "not_helpful"
+    score = F.when(down, F.greatest(given, F.lit(0.6))).otherwise(given)
+    sad = (number != 0) | (down & (score >= settings.dissatisfaction))
+    told = F.trim(F.coalesce("_r.reason", F.lit("")))
+    none = F.array().cast("array<string>")
+    model = F.struct(
+        sad.alias("dissatisfied"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("score"),
+        F.when(told != "", F.array(told))
+        .otherwise(F.when(sad, F.array(F.lit("dissatisfied"))).otherwise(none))
+        .alias("signals"),
+        F.concat(F.lit("llm:"), F.coalesce("provider", F.lit("table"))).alias("method"),
+    )
+    decided = lambda score, signal: F.struct(
+        F.lit(score > 0).alias("dissatisfied"),
+        F.lit(score).alias("score"),
+        F.array(F.lit(signal)).alias("signals"),
+        F.lit("rules").alias("method"),
+    )
+    usable = F.col("_r").isNotNull() & number.isNotNull() & given.isNotNull()
+    result = (
+        F.when(said == "helpful", decided(0.0, "explicit_helpful"))
+        .when(said == "human_request", decided(1.0, "explicit_human_request"))
+        .otherwise(_pick(usable, model, out, mode))
+    )
+    return joined.withColumn(out, result).drop("_r", "_given", "provider")

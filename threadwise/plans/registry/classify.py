@@ -97,6 +97,28 @@ def e12_apply_responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def e12_safety_responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = c.turns(spark, sf)
+    n = F.length("text") % 4
+    raw = F.when(n == 0, '{"safety": 1, "trigger": "knife"}').when(n == 1, 'so: {"safety": 0, "reason": "calm"}').when(n == 2, "?")
+    answers = rows.select("query_id", raw.alias("raw"), F.lit("table").alias("provider")).where("raw IS NOT NULL")
+    out = responses.apply_safety_responses(ops.detect_context(rows, L), answers, "query_id")
+    return out.select(
+        "query_id", "safety.is_safety", F.array_join("safety.triggers", ",").alias("triggers"), "safety.method"
+    )
+
+
+def e15_dissatisfaction_responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ops.dissatisfaction(with_reactions(spark, sf), L)
+    n = F.length("text") % 3
+    raw = F.when(n == 0, '{"dissatisfied": 1, "score": 0.9, "reason": "rude"}').when(n == 1, '{"dissatisfied": 0, "score": 0.2}')
+    answers = rows.select("query_id", raw.alias("raw"), F.lit("table").alias("provider")).where("raw IS NOT NULL")
+    out = responses.apply_dissatisfaction_responses(rows, answers, "query_id")
+    return out.select(
+        "query_id", "dissatisfaction.dissatisfied", "dissatisfaction.score", "dissatisfaction.method"
+    )
+
+
 def e13_reaction_flags(spark: SparkSession, sf: str) -> DataFrame:
     return ops.reaction_flags(c.turns(spark, sf), L).select("query_id", "rejection", "human_request")
 
@@ -203,7 +225,7 @@ QUERIES = {
     for f in (
         e1_lexicon_scores, e2_classify_rules, e3_context_override, e4_needs_context, e5_detect_context,
         e6_compare_detectors, e7_frustration, e8_is_deflection, e9_deflection_rate,
-        e10_majority_baseline, e11_learned_classifier, e12_apply_responses, e13_reaction_flags,
+        e10_majority_baseline, e11_learned_classifier, e12_apply_responses, e12_safety_responses, e15_dissatisfaction_responses, e13_reaction_flags,
         e14_is_repeat, e15_dissatisfaction, k1_classification_metrics, k2_confusion,
         k3_metrics_by_subset, k4_lift, k5_agreement, k6_check_expectations, k7_compare_models,
     )
@@ -300,6 +322,17 @@ SQL = {
         CASE len(text) % 4 WHEN 0 THEN 0.41::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE confidence END AS confidence,
         CASE len(text) % 4 WHEN 3 THEN 'rules' WHEN 2 THEN 'rules (llm_error: bad_response)' ELSE 'llm:table' END AS method
       FROM c_out""",
+    "e12_safety_responses": f"""WITH {TURNS}, {CLASSIFIED}
+      SELECT query_id, CASE len(text) % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE is_safety END AS is_safety,
+        CASE len(text) % 4 WHEN 0 THEN 'knife' WHEN 1 THEN '' ELSE coalesce(array_to_string(trig, ','), '') END AS triggers,
+        CASE len(text) % 4 WHEN 3 THEN 'rules' WHEN 2 THEN 'rules (llm_error: bad_response)' ELSE 'llm:table' END AS method
+      FROM c_out""",
+    "e15_dissatisfaction_responses": f"""WITH {TURNS}, {REPEATS}, {REACTIONS},
+      x AS (SELECT *, CASE WHEN explicit = 'helpful' THEN 0.0::DOUBLE WHEN explicit = 'human_request' THEN 1.0::DOUBLE
+          WHEN len(text) % 3 = 0 THEN 0.9::DOUBLE
+          WHEN len(text) % 3 = 1 THEN CASE WHEN explicit = 'not_helpful' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END ELSE score END AS s FROM dis)
+      SELECT query_id, s >= 0.6 AS dissatisfied, s AS score,
+        CASE WHEN explicit IN ('helpful', 'human_request') OR len(text) % 3 = 2 THEN 'rules' ELSE 'llm:table' END AS method FROM x""",
     "e13_reaction_flags": f"""WITH {TURNS} SELECT query_id, {any_match('text', L.rejection)} AS rejection,
       {any_match('text', L.human_request)} AS human_request FROM turns""",
     "e14_is_repeat": f"WITH {TURNS}, {REPEATS} SELECT conv_id, turn, is_repeat FROM rep",
