@@ -45,3 +45,21 @@ def test_tails_equal_plain_windows_across_chunks(spark):
         got = O.with_tail(df, ["k"], ["t"], O.int_chunk("t", 16), "v", n, "h")
         want = df.withColumn("h", F.collect_list("v").over(w))
         same(got.select("k", "t", "h"), want.select("k", "t", "h"))
+
+
+def test_only_hot_keys_are_cut(spark):
+    df = hot_rows(spark).withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
+    marked, cut = O.hot_time_chunk(df, "k", "ts", hot_rows=200)
+    chunks = {r.k: r.n for r in marked.withColumn("c", cut).groupBy("k").agg(F.countDistinct("c").alias("n")).collect()}
+    assert chunks.pop(1) > 50 and set(chunks.values()) == {1}
+    w = Window.partitionBy("k").orderBy("ts")
+    got = O.with_neighbour(marked, ["k"], ["ts"], cut, ["v"], "n").select("k", "t", "n")
+    same(got, df.withColumn("n", F.lag(F.struct("v")).over(w)).select("k", "t", "n"))
+
+
+def test_no_window_over_a_whole_key(spark):
+    df = hot_rows(spark)
+    plan = O.with_running(df, ["k"], ["t"], O.int_chunk("t"), {"s": F.col("x")})._jdf.queryExecution().executedPlan().toString()
+    data = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "_chunk" not in line]
+    sums = [line for line in plan.splitlines() if "partial_sum" in line or "HashAggregate" in line]
+    assert len(data) <= 1 and sums  # the only exchange on the bare key carries chunk totals

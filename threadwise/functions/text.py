@@ -45,11 +45,16 @@ def expand(c: Column, abbreviations: Mapping[str, str]) -> Column:
     changing = {short: full for short, full in abbreviations.items() if short != full}
     if not changing:
         return c
-    done = c
-    for short, full in changing.items():
-        done = F.regexp_replace(done, rf"{short}(?<![{WORD}]{short})(?![{WORD}])", full)
-    some = c.rlike(rf"(?<![{WORD}])(?:{'|'.join(changing)})(?![{WORD}])")
-    return F.when(some, done).otherwise(c)
+    any_short = rf"(?<![{WORD}])(?:{'|'.join(changing)})(?![{WORD}])"
+
+    def replaced(t: Column) -> Column:
+        done = t
+        for short, full in changing.items():
+            done = F.regexp_replace(done, rf"{short}(?<![{WORD}]{short})(?![{WORD}])", full)
+        return F.when(t.rlike(any_short), done).otherwise(t)
+
+    # the lambda names the text, which would otherwise be computed for the search and again after it
+    return F.get(F.transform(F.array(c), replaced), 0)
 
 
 def clean_text(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
-from threadwise.operators.ordered import int_chunk, time_chunk, with_neighbour
+from threadwise.operators.ordered import hot_time_chunk, int_chunk, with_neighbour
 from threadwise.operators.threads import first_per
 
 STRETCH_ROWS = 1024
@@ -100,8 +100,15 @@ def _then(done: Column, nxt: Column) -> Column:
 
 def _fold_events(codes: Column) -> Column:
     width = len(fixed.STATES)
-    steps = F.array(*[F.slice(F.col("_steps"), c * width + 1, width) for c in range(UNKNOWN + 1)])
-    return F.aggregate(codes, _identity(), lambda acc, e: _then(acc, F.get(steps, e["code"])))
+
+    def step(acc: Column, e: Column) -> Column:
+        def apply(c: Column) -> Column:
+            cell = F.get(F.col("_steps"), (e["code"] * width + c["s"]).cast("int"))
+            return _cell(cell["s"], c["rejected"] + cell["rejected"], c["reopened"] + cell["reopened"])
+
+        return F.transform(acc, apply)
+
+    return F.aggregate(codes, _identity(), step)
 
 
 def _fold_maps(maps: Column) -> Column:
@@ -131,10 +138,13 @@ def replay_states(
     """Final status per conversation, with the number of rejected moves and of reopenings.
 
     ``events`` carries ``code`` (see ``event_code``). The events are shuffled once, on (key, chunk);
-    what is shuffled on the key alone is one map of five cells per chunk.
+    what is shuffled on the key alone is one map of five cells per chunk. Unless a chunk is given,
+    only conversations with very many events are cut, by the hour.
     """
-    chunk = time_chunk(order[0]) if chunk is None else chunk
-    parts = _stretches(events.select(key, *order, "code"), key, order, chunk, stretch_rows)
+    events = events.select(key, *order, "code")
+    if chunk is None:
+        events, chunk = hot_time_chunk(events, key, order[0])
+    parts = _stretches(events, key, order, chunk, stretch_rows)
     maps = parts.withColumn("_steps", _steps()).select(
         key, "_chunk", "_part", F.size("_events").alias("n"), _fold_events(F.col("_events")).alias("map")
     )
@@ -183,8 +193,10 @@ def replay_log(
     Maps go up (stretch, chunk), start states come down again, and each stretch is then replayed
     on its own.
     """
-    chunk = time_chunk(order[0]) if chunk is None else chunk
-    parts = _stretches(events.select(key, *order, "code"), key, order, chunk, stretch_rows)
+    events = events.select(key, *order, "code")
+    if chunk is None:
+        events, chunk = hot_time_chunk(events, key, order[0])
+    parts = _stretches(events, key, order, chunk, stretch_rows)
     parts = parts.withColumn("_steps", _steps()).withColumn("map", _fold_events(F.col("_events")))
     chunks = parts.groupBy(key, "_chunk").agg(
         F.sort_array(F.collect_list(F.struct("_part", "map"))).alias("_maps")

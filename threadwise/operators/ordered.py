@@ -5,8 +5,9 @@ that holds a third of the table stops the job. These operators cut each group in
 the window runs per ``(key, chunk)``, one small row per chunk carries what the next chunk needs, and
 only those rows are ordered per key. The data is shuffled once, on ``(key, chunk)``.
 
-``chunk`` must be a deterministic, order-preserving expression of the first order column, such as
-``int_chunk("turn")`` for dense numbers or ``time_chunk("ts")`` for time.
+``chunk`` must be a deterministic, order-preserving expression of the first order column within a
+key, such as ``int_chunk("turn")`` for dense numbers or ``time_chunk("ts")`` for time.
+``hot_time_chunk`` cuts only keys with very many rows and leaves the others whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,25 @@ def time_chunk(column: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(column))
 
 
+HOT_ROWS = 1_000_000
+
+
+def hot_time_chunk(
+    df: DataFrame, key: str, column: str, unit: str = "hour", hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, Column]:
+    """Rows marked with whether their key is hot, and the chunk that cuts only hot keys by time.
+
+    Counts per key are pre-aggregated before they are shuffled. At most one key per ``hot_rows``
+    rows can be hot, which bounds what is broadcast: a million rows for 10^12 events.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(hot), key, "left")
+    whole = F.lit("1970-01-01").cast("timestamp")
+    cut = F.when(F.col("_hot"), F.date_trunc(unit, F.col(column))).otherwise(whole)
+    return marked, cut
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],

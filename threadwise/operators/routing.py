@@ -10,7 +10,7 @@ from threadwise.config import Settings
 from threadwise.functions import text as X
 from threadwise.lexicon import Lexicon
 from threadwise.operators.classify import dissatisfaction
-from threadwise.operators.ordered import time_chunk, with_neighbour, with_running
+from threadwise.operators.ordered import hot_time_chunk, with_neighbour, with_running
 from threadwise.operators.sampling import sample_n
 
 
@@ -177,13 +177,14 @@ def apply_feedback(
     turns a message to not helpful and takes 1 away when it turns it back, and the count is the
     running sum of those steps.
     """
-    chunk = time_chunk(order[0]) if chunk is None else chunk
+    if chunk is None:
+        feedback, chunk = hot_time_chunk(feedback, conv, order[0])
     seen = with_neighbour(feedback, [conv, message], order, chunk, [kind], "_prev")
     down = (F.col(kind) == "not_helpful").cast("long")
     was = F.coalesce((F.col(f"_prev.{kind}") == "not_helpful").cast("long"), F.lit(0))
     counted = with_running(seen, [conv], order, chunk, {"thumbs_down_count": down - was})
     second = F.lit(settings.second_thumbs_down_escalates) & (F.col("thumbs_down_count") >= 2)
-    return counted.withColumn("escalated", (F.col(kind) == "human_request") | second).drop("_prev")
+    return counted.withColumn("escalated", (F.col(kind) == "human_request") | second).drop("_prev", "_hot")
 
 
 def feedback_policy(df: DataFrame, mode: str = "immediate", kind: str = "feedback") -> DataFrame:
