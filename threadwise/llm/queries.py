@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.llm import arc, mixing, packing, token_frames, url_rules
+from threadwise.llm import arc, mixing, packing, quality_rules, simhash_trie, token_frames, url_rules
 from threadwise.llm.common import table
 
 
@@ -19,6 +19,21 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+# ---------------------------------------------------------------- 1 quality rules
+
+
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+# ---------------------------------------------------------------- 4 near-duplicates
+
+
+def op4_simhash_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf, "documents"))
+
+
 # ---------------------------------------------------------------- 3 packing
 
 
@@ -123,6 +138,8 @@ FROM r"""
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_simhash_trie": op4_simhash_trie,
     "op3_packing": op3_packing,
     "op6_token_frames": op6_token_frames,
     "op7_mixing": op7_mixing,
