@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.llm import arc, mixing, packing, quality_rules, simhash_trie, token_frames, url_rules
+from threadwise.llm import arc, fst_count, imatch, mixing, packing, quality_rules, simhash_trie, token_frames, url_rules
 from threadwise.llm.common import table
 
 
@@ -42,6 +42,13 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+# ---------------------------------------------------------------- 5 fingerprints
+
+
+def op5_imatch(spark: SparkSession, sf: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf, "documents"))
+
+
 # ---------------------------------------------------------------- 6 token files
 
 
@@ -81,6 +88,16 @@ SELECT doc_id, size, source_size, target,
 FROM p"""
 
 
+# ---------------------------------------------------------------- 8 token counts
+
+TOKEN_LIMIT = 1024
+
+
+def op8_fst_count(spark: SparkSession, sf: str) -> DataFrame:
+    counts = fst_count.count_tokens(table(spark, sf, "documents"), tokenizer_file(BYTE_BPE))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 # ---------------------------------------------------------------- 9 archives
 
 
@@ -141,6 +158,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash_trie": op4_simhash_trie,
     "op3_packing": op3_packing,
+    "op5_imatch": op5_imatch,
+    "op8_fst_count": op8_fst_count,
     "op6_token_frames": op6_token_frames,
     "op7_mixing": op7_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
