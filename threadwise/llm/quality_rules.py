@@ -59,10 +59,10 @@ def repeat_words(words: str, window: int) -> Column:
     return F.expr(f"CASE WHEN size(array_distinct(_h)) < size(_h) THEN {covered} ELSE 0 END").cast("long")
 
 
-def measured(docs: DataFrame, text_col: str, limits: Limits) -> DataFrame:
-    """The input without its text and with counts, ``_classes`` and ``_common`` (arrays of counts)."""
+def measured(docs: DataFrame, text_col: str, limits: Limits, with_text: bool = False) -> DataFrame:
+    """The input, without its text if not wanted, and with counts, ``_classes`` and ``_common`` (arrays of counts)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keep = [c for c in docs.columns if c not in (*ADDED, text_col)]
+    keep = [c for c in docs.columns if c not in ADDED and (with_text or c != text_col)]
     rows = docs.select(*keep, text.alias("_t"))
     rows = rows.withColumn("_w", F.filter(F.split("_t", SPACE), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
@@ -135,9 +135,9 @@ def word_distance(common: Column, n_common: Column, reference: dict[str, float])
     return F.when(n_common > 0, F.sqrt(F.greatest(F.lit(0.0), (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + 1) / 2)))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), references: dict | None = None) -> DataFrame:
-    """The input without its text, with ``ADDED``. The measures are written once and read for both passes."""
-    rows = reliable(measured(docs, text_col, limits))
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), references: dict | None = None, with_text: bool = False) -> DataFrame:
+    """The input, without its text if not wanted, with ``ADDED``. The measures are written once and read for both passes."""
+    rows = reliable(measured(docs, text_col, limits, with_text))
     if references is None:
         references = learn_references(rows, lang_col, limits.min_words) if lang_col in docs.columns else {}
     n_chars = F.aggregate("_classes", F.lit(0), lambda a, x: a + x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.llm import arc, fst_count, imatch, mixing, packing, quality_rules, simhash_trie, token_frames, url_rules
+from threadwise.llm import arc, fst_count, imatch, mixing, packing, quality_rules, simhash_trie, suffix_dedup, token_frames, url_rules
 from threadwise.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
+# ---------------------------------------------------------------- 2 repeated passages
+
+
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # ---------------------------------------------------------------- 4 near-duplicates
 
 
@@ -156,6 +164,7 @@ FROM r"""
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_simhash_trie": op4_simhash_trie,
     "op3_packing": op3_packing,
     "op5_imatch": op5_imatch,
