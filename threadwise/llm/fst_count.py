@@ -243,7 +243,7 @@ class Transducer:
     # -- texts
 
     def _piece(self, piece: str) -> int:
-        self.pieces[piece] = n = len(self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode()))))
+        self.pieces[piece] = n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
         return n
 
     def _pieces(self, text: str) -> int:

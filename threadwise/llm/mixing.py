@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rows = rows.withColumn("goal", F.least(F.round("target").cast("long"), F.col("_cap")))
     upto = Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("hi", F.floor(F.sum("goal").over(upto) * F.lit(float(CIRCLE)) / F.sum("goal").over(all_)).cast("long"))
+    rows = rows.withColumn("hi", F.floor(F.sum("goal").over(upto) * F.lit(float(CIRCLE)) / F.greatest(F.lit(1), F.sum("goal").over(all_))).cast("long"))
     rows = rows.withColumn("lo", F.coalesce(F.lag("hi").over(one), F.lit(0)))
     return rows.select("_src", "source_size", "target", "goal", "lo", "hi")
 

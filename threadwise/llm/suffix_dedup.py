@@ -187,7 +187,9 @@ def joined(tables: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def ordered(table: list[np.ndarray]) -> list[np.ndarray]:
-    return pick(table, multikey_order(table[:5]))
+    """Sorted, and each place once (rows equal in id and text are one document)."""
+    table = pick(table, multikey_order(table[:5]))
+    return pick(table, changes(table[:5]))
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:

@@ -30,42 +30,38 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """``max_words`` bounds the memory of a task; a full table is begun anew, which changes no result."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = {chr(b): c for b, c in _byte_letters().items()}
+        self.letters = _byte_letters()
         self.max_words = max_words
         self._begin()
 
     def _begin(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.flat = np.empty(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # of word i: ends[i + 1]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelt = piece if piece.isascii() else "".join(self.letters[chr(b)] for b in piece.encode())
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelt)]
-        return ids
-
-    def _word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes) -> tuple[int, ...]:
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return [i for p in _PIECES.findall(text.lower()) for i in self._piece(p)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        cut, pieces = _PIECES.findall(text.lower()), self.pieces
+        for piece in cut:
+            if piece not in pieces:
+                spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                pieces[piece] = tuple([t.id for t in self.model.tokenize(spelt)])
+        return pieces[cut[0]] if len(cut) == 1 else tuple(chain.from_iterable([pieces[p] for p in cut]))
 
     def _learn(self, words: set[bytes]) -> None:
-        n, ids, counts = len(self.at), [], []
-        for i, word in enumerate(words):
-            got = self._word(word)
-            ids += got
-            counts.append(len(got))
-            self.at[word] = n + i
+        n = len(self.at)
+        found = list(map(self._word, words))
+        self.at.update(zip(words, range(n, n + len(found))))
+        counts, ids = list(map(len, found)), list(chain.from_iterable(found))
         end, more = int(self.ends[n]), n + len(counts) + 1
         if more > len(self.ends):
             self.ends = np.resize(self.ends, 2 * more)
