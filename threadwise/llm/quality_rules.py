@@ -35,7 +35,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 20
-    window: int = 8
+    window: int = 8  # a power of two
     max_repeat_percent: int = 30
     min_chars: int = 500
     max_char_distance: float = 0.3
@@ -66,34 +66,39 @@ def measured(docs: DataFrame, text_col: str, limits: Limits, with_text: bool = F
     rows = docs.select(*keep, text.alias("_t"))
     rows = rows.withColumn("_w", F.filter(F.split("_t", SPACE), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
-    known = vocabulary()
     # Common words, sorted; where a run of equal ones ends; and from there the count of each.
-    rows = rows.withColumn("_c", F.sort_array(F.filter(F.split(F.lower("_t"), SPACE), lambda w: w.isin(known))))
+    known = vocabulary()
+    spelt = [*known, *{w.capitalize() for w in known}, *{w.upper() for w in known if len(w) > 1}]
+    common = F.transform(F.filter("_w", lambda w: w.isin(spelt)), lambda w: F.lower(w))
+    rows = rows.withColumn("_c", F.sort_array(common))
     rows = rows.withColumn("_ends", F.expr("filter(transform(_c, (w, i) -> struct(w, i + 1 AS e)), x -> x.e = size(_c) OR get(_c, x.e) <> x.w)"))
-    n = limits.window
-    hashed = f"CASE WHEN size(_w) >= {n} THEN transform(sequence(0, size(_w) - {n}), i -> xxhash64({', '.join(f'get(_w, i + {k})' for k in range(n))})) ELSE array() END"
-    rows = rows.withColumn("_h", F.expr(hashed))
+    # Windows by doubling: hashes of one word, then of 2, 4, ... neighbours.
+    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    width = 1
+    while width < limits.window:
+        rows = rows.withColumn("_h", F.expr(f"CASE WHEN size(_h) > {width} THEN transform(slice(_h, 1, size(_h) - {width}), (x, i) -> xxhash64(x, get(_h, i + {width}))) ELSE array() END"))
+        width *= 2
     without = lambda pattern: F.length(F.regexp_replace("_t", pattern, ""))
     rows = rows.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "n_chars_": F.length("_t"),
-            "word_chars": without(SPACE).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words("_w", n),
-            "_lower": without("[^a-z]+"),
+            "n_repeat_words": repeat_words("_w", limits.window),
             "_upper": without("[^A-Z]+"),
             "_digit": without("[^0-9]+"),
             "_foreign": without(r"[\x00-\x7F]+"),
+            "_other": without(r"[a-zA-Z0-9\x20\x09-\x0D#*$%&|<>\x{80}-\x{10FFFF}]+"),
             "_common": F.expr("transform(_ends, (x, j) -> struct(x.w AS w, x.e - coalesce(get(_ends, j - 1).e, 0) AS n))"),
         }
     ).drop("_t", "_w", "_lines", "_c", "_ends", "_h")
     white = F.col("n_chars_") - F.col("word_chars")
-    named = [F.col("_lower"), F.col("_upper"), F.col("_digit"), white, F.col("n_symbols"), F.col("_foreign")]
-    other = F.col("n_chars_") - sum(named[1:], named[0])
-    rows = rows.withColumn("_classes", F.array(*[c.cast("int") for c in (*named, other)]))
-    return rows.drop("_lower", "_upper", "_digit", "_foreign", "n_chars_")
+    rest = [F.col("_upper"), F.col("_digit"), white, F.col("n_symbols"), F.col("_foreign"), F.col("_other")]
+    lower = F.col("n_chars_") - sum(rest[1:], rest[0])
+    rows = rows.withColumn("_classes", F.array(*[c.cast("int") for c in (lower, *rest)]))
+    return rows.drop("_upper", "_digit", "_foreign", "_other", "n_chars_")
 
 
 def learn_references(rows: DataFrame, lang_col: str, min_words: int) -> dict[str, tuple[list[float], dict[str, float]]]:
@@ -130,9 +135,10 @@ def class_distance(counts: Column, reference: list[float]) -> Column:
 def word_distance(common: Column, n_common: Column, reference: dict[str, float]) -> Column:
     """The same for (word, count) pairs. A word of the reference that the document lacks adds its share."""
     shares = F.create_map(*[F.lit(x) for w, r in sorted(reference.items()) for x in (w, float(r))]) if reference else F.create_map(F.lit(""), F.lit(0.0))
-    of = lambda x: F.coalesce(F.try_element_at(shares, x["w"]), F.lit(0.0))
-    terms = F.transform(common, lambda x: _part(x["n"] / n_common, of(x)) - of(x))
-    return F.when(n_common > 0, F.sqrt(F.greatest(F.lit(0.0), (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + 1) / 2)))
+    share = lambda x: F.coalesce(F.try_element_at(shares, x["w"]), F.lit(0.0))
+    pairs = F.transform(common, lambda x: F.struct((x["n"] / n_common).alias("p"), share(x).alias("r")))
+    total = F.aggregate(pairs, F.lit(0.0), lambda a, y: a + _part(y["p"], y["r"]) - y["r"])
+    return F.when(n_common > 0, F.sqrt(F.greatest(F.lit(0.0), (total + 1) / 2)))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), references: dict | None = None, with_text: bool = False) -> DataFrame:
