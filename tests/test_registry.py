@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
+from threadwise.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
@@ -11,8 +12,8 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables"
 
 def test_names():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"e11_learned_classifier", "f4_topk_lsa", "f5_topk_hybrid", "i2_conflicts"}
+    assert set(sql) <= set(queries) and set(QUERIES) <= set(queries)
+    assert set(QUERIES) - set(SQL) == {"e11_learned_classifier", "f4_topk_lsa", "f5_topk_hybrid", "i2_conflicts"}
 
 
 @needs_data

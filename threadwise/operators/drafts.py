@@ -18,7 +18,7 @@ def draft_from_templates(
     lexicon: Lexicon,
     key: str = "query_id",
     intent: str = "intent",
-    top: int = 3,
+    top: int | None = None,
 ) -> DataFrame:
     """A fresh reply per query from its intent and its best hits; no reply is copied.
 
@@ -27,7 +27,7 @@ def draft_from_templates(
     """
     private = X.any_contained(F.lower(X.text_or_empty(F.col("brand_reply"))), lexicon.deflection)
     best = (
-        hits.where(F.col("rank") <= top)
+        (hits if top is None else hits.where(F.col("rank") <= top))
         .groupBy(key)
         .agg(
             F.sum(private.cast("int")).alias("_private"),
@@ -76,7 +76,8 @@ def verify_drafts(
     top: int = 3,
 ) -> DataFrame:
     """Add ``ok`` and ``issues``. Hard: too short, a link no evidence shows, a promise of a completed
-    action. Soft (``ok`` stays true): pure deflection, a safety reply without a calming word."""
+    action. Soft (``ok`` stays true): pure deflection, a safety reply without a calming word. All hits
+    given are evidence, or those up to rank ``top``."""
     evidence = (
         hits.where(F.col("rank") <= top)
         .groupBy(key)

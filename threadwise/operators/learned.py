@@ -35,7 +35,7 @@ def train_text_classifier(
     label: str,
     taxonomy: Sequence[str],
     stop: Sequence[str] = (),
-    max_iter: int = 100,
+    max_iter: int = 1000,
     settings: Settings = Settings(),
 ) -> PipelineModel:
     """Fit on (text, label) with balanced class weights n / (K * count) over labels present."""

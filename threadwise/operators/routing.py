@@ -198,10 +198,11 @@ def feedback_policy(df: DataFrame, mode: str = "immediate", kind: str = "feedbac
     return df.withColumn("escalate_now", reason.isNotNull()).withColumn("escalation_reason", reason)
 
 
-def escalation_records(df: DataFrame, hits: DataFrame, key: str = "query_id", k: int = 3) -> DataFrame:
+def escalation_records(df: DataFrame, hits: DataFrame, key: str = "query_id", k: int | None = None) -> DataFrame:
     """The record a human agent receives. ``df`` holds one row per escalated message with
-    original_message, history (see ``with_history``), intent, ai_response, safety_status, reason."""
-    best = hits.where(F.col("rank") <= k)
+    conversation_id, original_message, ai_response, intent, safety_status, reason, timestamp. The history is
+    a table of its own (``earlier_rows``), since an array per message grows with the square of the thread."""
+    best = hits if k is None else hits.where(F.col("rank") <= k)
     evidence = best.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("rank", "pair_id", "score"))).alias("_e")
     )
@@ -215,6 +216,15 @@ def escalation_records(df: DataFrame, hits: DataFrame, key: str = "query_id", k:
     )
 
 
+def earlier_rows(
+    messages: DataFrame, conv: DataFrame, id_: str = "query_id", key: str = "conv_id", order: str = "turn"
+) -> DataFrame:
+    """The whole history of each given message in normal form: (id, order, role, text) of every earlier one."""
+    asked = messages.select(id_, key, F.col(order).alias("_until"))
+    both = conv.select(key, order, "role", "text").join(asked, key)
+    return both.where(F.col(order) < F.col("_until")).drop("_until")
+
+
 def history_rows(
     escalated: DataFrame, conv: DataFrame, key: str = "conv_id", order: str = "turn"
 ) -> DataFrame:

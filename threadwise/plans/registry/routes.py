@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadwise.fixed_values import ESCALATION_CLAUSES
 from threadwise.operators import routing as ops
-from threadwise.operators.threads import with_depth, with_history
+from threadwise.operators.threads import with_depth
 from threadwise.plans import flagship
 from threadwise.plans.registry import classify as cq
 from threadwise.plans.registry import common as c
@@ -48,7 +48,7 @@ def escalated(spark: SparkSession, sf: str) -> DataFrame:
 def h2_escalate(spark: SparkSession, sf: str) -> DataFrame:
     return escalated(spark, sf).select(
         "query_id", "escalation.route", F.array_join("escalation.signals", ",").alias("signals"),
-        "escalation.confidence", F.length("escalation.reason").alias("reason_chars"),
+        "escalation.confidence", "escalation.reason",
     )
 
 
@@ -63,16 +63,21 @@ def h4_feedback_policy(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "escalate_now", F.coalesce("escalation_reason", F.lit("")).alias("why"))
 
 
-def h5_escalation_records(spark: SparkSession, sf: str) -> DataFrame:
-    # Decisions are written before they are filtered: a filter on a computed decision would be pushed
-    # below it and compute everything it depends on again.
+def handed_over(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that go to a human. Decisions are written before they are filtered: a filter on a computed
+    decision would be pushed below it and compute everything it depends on again."""
     needed = ["conv_id", "turn", "query_id", "text", "classification", "safety", "escalation"]
-    rows = reliable(escalated(spark, sf).select(*needed)).where("escalation.route = 'HUMAN'")
-    history = with_history(table(spark, sf, "conversations"), last_n=5).select("conv_id", "turn", "history")
-    heads = rows.join(history, ["conv_id", "turn"]).select(
+    return reliable(escalated(spark, sf).select(*needed)).where("escalation.route = 'HUMAN'")
+
+
+def h5_escalation_records(spark: SparkSession, sf: str) -> DataFrame:
+    replies = c.pairs(spark, sf).select("conv_id", "turn", F.col("brand_reply").alias("ai_response"))
+    heads = handed_over(spark, sf).join(replies, ["conv_id", "turn"], "left").select(
         "query_id",
+        F.col("conv_id").alias("conversation_id"),
+        F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn")).alias("timestamp"),
         F.col("text").alias("original_message"),
-        "history",
+        F.coalesce("ai_response", F.lit("")).alias("ai_response"),
         F.col("classification.intent").alias("intent"),
         F.col("escalation.reason").alias("reason"),
         F.when(F.col("safety.is_safety"), "YES").otherwise("no").alias("safety_status"),
@@ -82,11 +87,17 @@ def h5_escalation_records(spark: SparkSession, sf: str) -> DataFrame:
         "retrieved_evidence", lambda e: F.concat(e["pair_id"], F.lit("="), e["score"].cast("decimal(6,4)").cast("string"))
     )
     return records.select(
-        "query_id", "original_message", F.array_join("history", " | ").alias("history"), "intent",
-        "safety_status", "status", F.array_join(evidence, ";").alias("evidence"),
+        "query_id", "conversation_id", F.unix_timestamp("timestamp").alias("at"), "original_message", "ai_response",
+        "intent", "reason", "safety_status", "status", F.array_join(evidence, ";").alias("evidence"),
     )
 
 
+def h5_escalation_history(spark: SparkSession, sf: str) -> DataFrame:
+    conv = table(spark, sf, "conversations")
+    rows = ops.earlier_rows(handed_over(spark, sf).select("query_id", "conv_id", "turn"), conv)
+    return rows.select("query_id", F.col("turn").alias("earlier_turn"), "role", "text")
+
+
 def h6_routing_audit(spark: SparkSession, sf: str) -> DataFrame:
     return ops.routing_audit(routed(spark, sf), "query_id", 8)
 
@@ -102,7 +113,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         routing_counts, h1_route, h2_escalate, h3_apply_feedback, h4_feedback_policy,
-        h5_escalation_records, h6_routing_audit, h6_escalation_rate,
+        h5_escalation_records, h5_escalation_history, h6_routing_audit, h6_escalation_rate,
     )
 }
 
@@ -157,6 +168,10 @@ _CLAUSE = "CASE s " + " ".join(
     f"WHEN {c.q(k)} THEN {c.q(v)}" for k, v in ESCALATION_CLAUSES.items()
 ) + " END"
 
+_REASON = f"""CASE WHEN len(signals) > 0 THEN concat('Escalated because ',
+          array_to_string(list_transform(signals, lambda s: {_CLAUSE}), '; and '), '.')
+          ELSE concat('Handled by AI: confident (', {c.two('confidence')}, ') non-safety intent ''', intent, ''', no dissatisfaction or grounding issues.') END"""
+
 THUMBS = f"""
 {c.FEEDBACK},
 st AS (SELECT *, (feedback = 'not_helpful')::INT - coalesce((lag(feedback) OVER (
@@ -171,9 +186,7 @@ SQL = {
     "h2_escalate": f"""WITH {ESCALATED}
       SELECT query_id, CASE WHEN len(signals) > 0 THEN 'HUMAN' ELSE 'AI' END AS route, array_to_string(signals, ',') AS signals,
         CASE WHEN len(signals) > 0 THEN round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * len(signals)), 3) ELSE confidence END AS confidence,
-        len(CASE WHEN len(signals) > 0 THEN concat('Escalated because ',
-          array_to_string(list_transform(signals, lambda s: {_CLAUSE}), '; and '), '.')
-          ELSE concat('Handled by AI: confident (', {c.two('confidence')}, ') non-safety intent ''', intent, ''', no dissatisfaction or grounding issues.') END) AS reason_chars
+        {_REASON} AS reason
       FROM esn""",
     "h3_apply_feedback": f"""WITH {THUMBS} SELECT event_id, n AS thumbs_down_count,
       feedback = 'human_request' OR n >= 2 AS escalated FROM td""",
@@ -181,12 +194,15 @@ SQL = {
       CASE feedback WHEN 'human_request' THEN 'the customer explicitly requested a human agent'
         WHEN 'not_helpful' THEN 'the customer marked the AI response Not Helpful' ELSE '' END AS why FROM fb""",
     "h5_escalation_records": f"""WITH {sq.SPACE_SQL}, {sq.TOP3}, {sq.PADDED}, {ESCALATED.replace(c.turns_sql() + ',', '', 1)},
-      hist AS (SELECT concat(conv_id, '_', turn) AS query_id, coalesce(array_to_string(list(text) OVER (
-        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ' | '), '') AS history
-        FROM conversations WHERE role = 'user'),
       evd AS (SELECT query_id, string_agg(concat(pair_id, '=', printf('%.4f', score)), ';' ORDER BY rank) AS evidence FROM hits GROUP BY 1)
-      SELECT query_id, text AS original_message, history, intent, CASE WHEN is_safety THEN 'YES' ELSE 'no' END AS safety_status,
-        'ESCALATED' AS status, evidence FROM esn JOIN hist USING (query_id) JOIN evd USING (query_id) WHERE len(signals) > 0""",
+      SELECT query_id, esn.conv_id AS conversation_id, (esn.conv_id * 100 + esn.turn)::BIGINT AS at, text AS original_message,
+        coalesce(brand_reply, '') AS ai_response, intent, {_REASON} AS reason,
+        CASE WHEN is_safety THEN 'YES' ELSE 'no' END AS safety_status, 'ESCALATED' AS status, evidence
+      FROM esn JOIN evd USING (query_id) LEFT JOIN pairs ON pairs.conv_id = esn.conv_id AND pairs.turn = esn.turn
+      WHERE len(signals) > 0""",
+    "h5_escalation_history": f"""WITH {ESCALATED}
+      SELECT query_id, b.turn AS earlier_turn, b.role, b.text FROM esn JOIN conversations b
+      ON b.conv_id = esn.conv_id AND b.turn < esn.turn WHERE len(signals) > 0""",
     "h6_routing_audit": f"""WITH {ROUTED} SELECT query_id, substr(replace(text, '|', '/'), 1, 60) AS message, intent, decision,
       substr(reason, 1, 90) AS reason FROM rt ORDER BY md5(concat('5:', query_id)), query_id LIMIT 8""",
     "h6_escalation_rate": f"""WITH {ROUTED} SELECT intent, count(*) AS n, sum((decision = 'HUMAN')::INT)::BIGINT AS n_human,

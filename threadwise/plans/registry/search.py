@@ -52,8 +52,8 @@ def f3_topk_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return lexical(spark, sf, pad=True)[1].select("query_id", "pair_id", "score", "rank")
 
 
-def lsa_model(spark: SparkSession, sf: str, components: int = 20) -> tuple[DataFrame, dense.LsaModel]:
-    corpus, m = space(spark, sf, Settings(lsa_components=components))
+def lsa_model(spark: SparkSession, sf: str) -> tuple[DataFrame, dense.LsaModel]:
+    corpus, m = space(spark, sf)
     return corpus, dense.fit_lsa(m, corpus, "pair_id", "customer_msg")
 
 
@@ -78,7 +78,7 @@ def f6_topk_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f7_topk_auto(spark: SparkSession, sf: str) -> DataFrame:
-    name, hits = ops.topk_auto(tfidf=lexical(spark, sf)[1], dense=None)
+    name, hits = ops.topk_auto(tfidf=lexical(spark, sf, pad=True)[1], dense=None)
     return hits.groupBy("method").agg(F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit(name))
 
 
@@ -97,7 +97,7 @@ def f8_retrieve_verified(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     corpus, m = space(spark, sf)
-    historical = ops.attach_texts(ops.topk_lexical(m, c.turns(spark, sf), corpus, 3), corpus)
+    historical = ops.attach_texts(ops.topk_lexical(m, c.turns(spark, sf), corpus, 3, pad=True), corpus)
     return ops.merge_layers(historical, verified(spark, sf, m), 3)
 
 
@@ -235,7 +235,7 @@ ver AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 MERGED = """
 either AS (
   SELECT query_id, concat('res_', resolution_id) AS pair_id, round(score + 0.15, 4) AS score, rank, true AS verified, 0 AS layer FROM ver
-  UNION ALL SELECT query_id, pair_id, score, rank, false, 1 FROM top3),
+  UNION ALL SELECT query_id, pair_id, score, rank, false, 1 FROM hits),
 flag AS (SELECT *, min(layer) OVER (PARTITION BY query_id) = 0 AS any_ FROM either),
 mrg AS (SELECT query_id, pair_id, score, verified, at_ AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_ THEN -score END, layer, rank, pair_id) AS at_ FROM flag)
@@ -271,11 +271,11 @@ SQL = {
         SELECT a.vec_id AS query_id, b.vec_id AS pair_id,
           round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
         FROM embeddings a, embeddings b)) WHERE rank <= 4""",
-    "f7_topk_auto": f"WITH {SPACE_SQL}, {TOP3} SELECT 'tfidf' AS method, count(*) AS n, 'tfidf' AS backend FROM top3",
+    "f7_topk_auto": f"WITH {SPACE_SQL}, {TOP3}, {PADDED} SELECT 'tfidf' AS method, count(*) AS n, 'tfidf' AS backend FROM hits",
     "f8_retrieve_verified": f"""WITH {SPACE_SQL}, {TOP3}, {VERIFIED}
       SELECT query_id, concat('res_', resolution_id) AS pair_id, score, rank::INT AS rank,
         'human_resolution' AS source, intent AS memory_intent FROM ver""",
-    "f9_merge_layers": f"""WITH {SPACE_SQL}, {TOP3}, {VERIFIED}, {MERGED}
+    "f9_merge_layers": f"""WITH {SPACE_SQL}, {TOP3}, {PADDED}, {VERIFIED}, {MERGED}
       SELECT query_id, pair_id, score, rank::INT AS rank, verified FROM mrg""",
     "f10_retrieval_metrics": f"""WITH {SPACE_SQL}, {TOP3}, {PADDED}, {INTENTS},
       {c.classified('pairs', 'pair_id', 'customer_msg').replace('c_', 'p_')},
@@ -284,7 +284,7 @@ SQL = {
       SELECT 'tfidf' AS method, (SELECT count(*) FROM turns) AS n_queries,
         round(sum(m)::DOUBLE / (SELECT count(*) FROM turns), 6) AS intent_match_at_3,
         round(sum(top)::DOUBLE / (SELECT count(*) FROM turns), 4) AS mean_top1 FROM per""",
-    "f11_memory_metrics": f"""WITH {SPACE_SQL}, {TOP3}, {VERIFIED}, {MERGED},
+    "f11_memory_metrics": f"""WITH {SPACE_SQL}, {TOP3}, {PADDED}, {VERIFIED}, {MERGED},
       ex AS (SELECT query_id, CASE len(text) % 3 WHEN 0 THEN 'recontact' WHEN 1 THEN 'below_threshold' ELSE 'intent_mismatch' END AS kind FROM turns),
       per AS (SELECT ex.query_id, kind, max(coalesce(verified, false)::INT) AS f, max(coalesce(verified AND rank = 1, false)::INT) AS g
         FROM ex LEFT JOIN mrg USING (query_id) GROUP BY 1, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadwise import schemas
 from threadwise.operators import lifecycle as life
+from threadwise.operators.routing import earlier_rows
 from threadwise.operators import threads as ops
 from threadwise.plans.registry import common as c
 from threadwise.plans.registry.common import table
@@ -136,6 +137,13 @@ def b6_pair_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b7_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole history of each customer turn, one row per earlier customer turn."""
+    rows = table(spark, sf, "conversations").where("role = 'user'")
+    earlier = earlier_rows(rows.select("conv_id", "turn", F.col("turn").alias("at")), rows, id_="at")
+    return earlier.select("conv_id", F.col("at").alias("turn"), F.col("turn").alias("earlier_turn"), "text")
+
+
+def b7_last_messages(spark: SparkSession, sf: str) -> DataFrame:
     rows = ops.with_history(table(spark, sf, "conversations"), last_n=3)
     return rows.select("conv_id", "turn", F.array_join("history", " | ").alias("history"))
 
@@ -155,9 +163,12 @@ def b10_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j3_drop_consecutive_dups(spark: SparkSession, sf: str) -> DataFrame:
-    # the length of a text stands in for it, so that equal neighbours occur
-    conv = table(spark, sf, "conversations").withColumn("text", F.floor(F.length("text") / 100).cast("string"))
-    return life.drop_consecutive_dups(conv.withColumn("role", F.lit("customer"))).select("conv_id", "turn", "text")
+    # some messages are sent twice, and some again by another role
+    conv = table(spark, sf, "conversations").withColumn("turn", F.col("turn") * 3)
+    kind = F.length("text") % 3
+    again = conv.where(kind == 0).withColumn("turn", F.col("turn") + 1)
+    other = conv.where(kind == 1).withColumns({"turn": F.col("turn") + 2, "role": F.lit("system")})
+    return life.drop_consecutive_dups(conv.unionByName(again).unionByName(other)).select("conv_id", "turn", "role", "text")
 
 
 def j6_conversation_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +208,7 @@ QUERIES = {
     for f in (
         a1_read_messages, a2_read_log, a3_read_conversations, a4_write_dataset, a5_append_log,
         a6_write_metrics, a7_upsert_latest, b1_outbound, b2_reply_parent_join, b3_filter_pairs,
-        b4_first_reply, b5_pair_id, b6_pair_turns, b7_history, b8_depth, b9_volume_by_author,
+        b4_first_reply, b5_pair_id, b6_pair_turns, b7_history, b7_last_messages, b8_depth, b9_volume_by_author,
         b10_mentions, j3_drop_consecutive_dups, j6_conversation_summary, j7_invalid_roles,
     )
 }
@@ -233,6 +244,9 @@ SQL = {
       SELECT concat('uc_', customer_tweet_id) AS pair_id, customer_tweet_id FROM firsts""",
     "b6_pair_turns": f"WITH {c.PAIRS} SELECT pair_id, conv_id, turn, customer_msg, brand_reply FROM pairs",
     "b7_history": """
+      SELECT a.conv_id, a.turn, b.turn AS earlier_turn, b.text FROM conversations a JOIN conversations b
+      ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE a.role = 'user' AND b.role = 'user'""",
+    "b7_last_messages": """
       SELECT conv_id, turn, coalesce(array_to_string(list(text) OVER (
         PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS history
       FROM conversations WHERE role = 'user'""",
@@ -247,10 +261,12 @@ SQL = {
       SELECT tweet_id, author_id FROM msgs
       WHERE inbound AND (contains(lower(text), 'that') OR contains(lower(text), 'from the'))""",
     "j3_drop_consecutive_dups": """
-      SELECT conv_id, turn, text FROM (
-        SELECT conv_id, turn, (len(text) // 100)::VARCHAR AS text,
-          lag((len(text) // 100)::VARCHAR) OVER (PARTITION BY conv_id ORDER BY turn) AS prev
-        FROM conversations) WHERE prev IS NULL OR prev <> text""",
+      WITH m AS (SELECT conv_id, turn * 3 AS turn, role, text FROM conversations
+        UNION ALL SELECT conv_id, turn * 3 + 1, role, text FROM conversations WHERE len(text) % 3 = 0
+        UNION ALL SELECT conv_id, turn * 3 + 2, 'system', text FROM conversations WHERE len(text) % 3 = 1),
+      n AS (SELECT *, lag(role) OVER w = role AND lag(text) OVER w = text AS same FROM m
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT conv_id, turn, role, text FROM n WHERE NOT coalesce(same, false)""",
     "j6_conversation_summary": f"""WITH
       firsts AS (SELECT conv_id, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1),
       {c.classified('firsts', 'conv_id, text')},

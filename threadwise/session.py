@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="threadwise-")
         spark.conf.set("spark.checkpoint.dir", root)
