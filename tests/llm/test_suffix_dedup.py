@@ -37,6 +37,18 @@ def test_small_blocks_and_folds_change_nothing(spark, monkeypatch):
     assert result(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))[0] == brute.repeats(docs)
 
 
+def test_anchors_cut_by_a_boundary_are_compared_by_string(spark, monkeypatch):
+    """Many boundaries among few suffixes: nearly every anchor is cut."""
+    docs = made(random.Random(6))
+    monkeypatch.setattr(s, "BUCKETS_PER_TASK", 400)
+    kinds = []
+    plain = s.reliable
+    monkeypatch.setattr(s, "reliable", lambda df: kinds.append(plain(df)) or kinds[-1])
+    assert result(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))[0] == brute.repeats(docs)
+    asked = {r.kind for r in kinds[0].select("kind").distinct().collect()}
+    assert s.BY_STRING in asked
+
+
 def test_multikey_order_is_the_sorted_order():
     import numpy as np
 

@@ -6,13 +6,15 @@ with the smallest mixed hash, the leftmost of equal ones. Equal strings have the
 suffixes that start at anchors are compared, about one position in 40. A *segment* is the run of strings
 that share an anchor, with all their bytes.
 
-1. Suffixes are range-partitioned by their leading bytes (splitters from a bounded sample of documents).
-   A task first folds its own equal segments, so a key sends one row per task however hot it is. A bucket
-   sorts by multikey quicksort (leading bytes, hash of the anchor, hash of the segment, position). Of
-   equal neighbours all but the first are repeats as a whole. Splitters are compared with whole leading
-   keys and never cut a group, so neighbours across a boundary always differ.
-2. Where segments with one anchor differ, the first of each kind is taken apart into its strings, which are
-   range-partitioned, sorted and compared in the same way, by all of their bytes' hash.
+1. Suffixes are range-partitioned by their leading bytes, then by hashes (splitters from a bounded sample of
+   documents). A task first folds its own equal segments, so a passage sends one row per task however hot it
+   is. A bucket sorts by multikey quicksort (leading bytes, hash of the anchor, hash of the segment,
+   position). Of equal neighbours all but the first are repeats as a whole. Equal segments never lie on two
+   sides of a boundary.
+2. Where segments with one anchor differ, the first of each kind has to be looked at string by string. Usually
+   the bytes of these segments meet in the bucket of their anchor. An anchor that a splitter cuts, so whose
+   segments lie on both sides of a boundary, may have any number of them: their single strings are folded,
+   range-partitioned, sorted and compared as suffixes of their own.
 3. The repeated runs of a document meet its text, and the covered bytes are cut out.
 
 Hashes are 64-bit polynomial ones over a seeded byte table; whole texts are read, nothing is capped.
@@ -37,14 +39,17 @@ from threadwise.session import reliable
 LENGTH = 100
 LEAD = 24
 SAMPLE_DOCS = 4000
-SAMPLE_LEADS = 64
+SAMPLE_SUFFIXES = 64
 BUCKETS_PER_TASK = 4
 BLOCK = 2 << 20
 FOLD_ROWS = 3_000_000
+BYTES_HELD = 32 << 20
+AT_ONCE = 256  # segments taken apart together
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 BASE = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
-SUFFIXES, RUNS, REQUESTS = 0, 1, 2
+#: Kinds of rows: suffixes or whole segments to compare, repeated runs found, and segments to look at by anchor or by string.
+SUFFIXES, SEGMENTS, RUNS, BY_ANCHOR, BY_STRING = range(5)
 
 ROWS = "bucket int, kind int, key long, payload binary"
 ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("payload", pa.binary())])
@@ -167,10 +172,13 @@ def by_key(table: list[np.ndarray], kind: int, bucket: int) -> Iterator[tuple]:
     if not len(table[0]):
         return
     order = np.lexsort((table[4], table[3]))
-    key, at, n = table[3][order], table[4][order], table[5][order]
+    lead, more, _, key, at, n = pick(table, order)
     first = np.flatnonzero(changes([key]))
     for a, b in zip(first.tolist(), np.append(first[1:], len(key)).tolist()):
-        yield bucket, kind, int(key[a]), at[a:b].astype("<u4").tobytes() + n[a:b].astype("u1").tobytes()
+        payload = at[a:b].astype("<u4").tobytes() + n[a:b].astype("u1").tobytes()
+        if kind != RUNS:
+            payload += lead[a:b].astype("<u8").tobytes() + more[a:b].astype("<u4").tobytes()
+        yield bucket, kind, int(key[a]), payload
 
 
 def runs_of(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +186,35 @@ def runs_of(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(payload, "<u4", n), np.frombuffer(payload, "u1", n, 4 * n)
 
 
+def requests_of(payload: bytes) -> tuple[np.ndarray, ...]:
+    """(starts, numbers of strings, leading bytes and hashes of the anchors)."""
+    n = len(payload) // 17
+    return np.frombuffer(payload, "<u4", n), np.frombuffer(payload, "u1", n, 4 * n), np.frombuffer(payload, "<u8", n, 5 * n), np.frombuffer(payload, "<u4", n, 13 * n)
+
+
+class Splitters:
+    """Boundaries of the buckets: (leading bytes, hash of the anchor and of the segment), ascending."""
+
+    def __init__(self, cuts: list[tuple[int, int]]):
+        self.lead = np.array([c[0] for c in cuts], dtype=np.uint64)
+        self.rest = np.array([c[1] for c in cuts], dtype=np.uint64)
+        self.anchors = {(c[0], c[1] >> 32) for c in cuts}
+
+    def bucket(self, lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        low = np.searchsorted(self.lead, lead, side="left")
+        high = np.searchsorted(self.lead, lead, side="right")
+        tied = np.flatnonzero(high > low)
+        out = low.copy()
+        for at in np.unique(low[tied]).tolist():
+            own = tied[low[tied] == at]
+            out[own] += np.searchsorted(self.rest[at : high[own[0]]], rest[own], side="right")
+        return out
+
+
+def rest_of(more: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return (more.astype(np.uint64) << np.uint64(32)) | (whole >> np.uint64(32))
+
+
 def pick(table: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
     return [c[rows] for c in table]
 
@@ -207,7 +244,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 class Folder:
     """Holds a task's suffixes; folds equal ones and deals the rest to the buckets."""
 
-    def __init__(self, splitters: np.ndarray):
+    def __init__(self, splitters: Splitters):
         self.splitters, self.tables, self.rows = splitters, [], 0
 
     def add(self, table: list[np.ndarray]) -> Iterator[tuple]:
@@ -222,7 +259,7 @@ class Folder:
         first = changes(table[:3])
         yield from by_key(pick(table, ~first), RUNS, -1)
         table = pick(table, first)
-        bucket = np.searchsorted(self.splitters, table[0], side="right")
+        bucket = self.splitters.bucket(table[0], rest_of(table[1], table[2]))
         edges = np.append(np.flatnonzero(changes([bucket])), len(bucket)).tolist()
         for a, b in zip(edges[:-1], edges[1:]):
             yield int(bucket[a]), SUFFIXES, 0, packed(pick(table, slice(a, b)))
@@ -272,9 +309,57 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
 
 
-def _find_segments(splitters: list[int]):
+class Bytes:
+    """Holds the bytes of segments and deals them to the buckets of their anchors."""
+
+    def __init__(self, splitters: Splitters):
+        self.splitters, self.size = splitters, 0
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.cuts: list[bytes] = []
+
+    def add(self, key: int, text: bytes, at: np.ndarray, n: np.ndarray, lead: np.ndarray, more: np.ndarray) -> Iterator[tuple]:
+        self.rows.append((np.full(len(at), key, "<i8"), at, n, lead, more))
+        own = [text[a : a + c + LENGTH - 1] for a, c in zip(at.tolist(), n.tolist())]
+        self.cuts += own
+        self.size += sum(map(len, own))
+        if self.size > BYTES_HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        import zstandard
+
+        if not self.rows:
+            return
+        key, at, n, lead, more = (np.concatenate(c) for c in zip(*self.rows))
+        bucket = self.splitters.bucket(lead, more.astype(np.uint64) << np.uint64(32))
+        order = np.lexsort((more, lead, bucket))  # like segments side by side, for the compression
+        edges = np.append(np.flatnonzero(changes([bucket[order]])), len(order)).tolist()
+        for a, b in zip(edges[:-1], edges[1:]):
+            own = order[a:b]
+            plain = np.array([len(own)], "<u8").tobytes() + key[own].tobytes() + at[own].tobytes() + n[own].tobytes() + b"".join([self.cuts[i] for i in own.tolist()])
+            yield int(bucket[own[0]]), SEGMENTS, 0, zstandard.ZstdCompressor(level=3).compress(plain)
+        self.rows, self.cuts, self.size = [], [], 0
+
+
+def strings_of(hasher: Hasher, payload: bytes) -> list[np.ndarray]:
+    """The suffix table of the single strings of packed segments."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(payload)
+    (m,) = np.frombuffer(plain, "<u8", 1).tolist()
+    key, at, n = np.frombuffer(plain, "<i8", m, 8), np.frombuffer(plain, "<u4", m, 8 + 8 * m), np.frombuffer(plain, "u1", m, 8 + 12 * m)
+    tables, place = [], 8 + 13 * m
+    for i in range(0, m, AT_ONCE):
+        own = slice(i, i + AT_ONCE)
+        size = int(n[own].astype(np.int64).sum()) + len(n[own]) * (LENGTH - 1)
+        tables.append(strings(hasher, plain[place : place + size], key[own], at[own], n[own]))
+        place += size
+    return joined(tables)
+
+
+def _find_segments(cuts: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, folder = Hasher(BLOCK + 2 * LENGTH), Folder(np.array(splitters, dtype=np.uint64))
+        hasher, folder = Hasher(BLOCK + 2 * LENGTH), Folder(Splitters(cuts))
 
         def rows() -> Iterator[tuple]:
             for block in blocks(_texts(batches)):
@@ -286,30 +371,37 @@ def _find_segments(splitters: list[int]):
     return run
 
 
-def strings(hasher: Hasher, key: int, text: bytes, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """The suffix table of single strings: n of them from each place on."""
-    cuts = [text[a : a + c + LENGTH - 1] for a, c in zip(at.tolist(), n.tolist())]
-    size = np.array([len(c) for c in cuts], dtype=np.int64)
-    data = np.frombuffer(b"".join(cuts) + b"\0" * 8, dtype=np.uint8)
-    sums = hasher.sums(data[:-8])
+def strings(hasher: Hasher, text: bytes, key: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The suffix table of single strings; ``text``: the bytes of the segments side by side."""
     n = n.astype(np.int64)
+    size = n + LENGTH - 1
+    data = np.frombuffer(text + b"\0" * 8, dtype=np.uint8)
+    sums = hasher.sums(data[:-8])
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     p = np.repeat(np.cumsum(size) - size, n) + inside
-    zero = np.zeros(len(p), dtype="<u4")
-    return [leading(data, p), zero, mixed(hasher.some(sums, p, p + LENGTH)), np.full(len(p), key, dtype="<i8"), (np.repeat(at.astype(np.int64), n) + inside).astype("<u4"), zero.astype("u1") + np.uint8(1)]
+    whole = mixed(hasher.some(sums, p, p + LENGTH))
+    return [leading(data, p), (whole >> np.uint64(32)).astype("<u4"), whole, np.repeat(key, n), (np.repeat(at.astype(np.int64), n) + inside).astype("<u4"), np.ones(len(p), "u1")]
 
 
-def _find_strings(splitters: list[int]):
+def _look_closer(cuts: list[tuple[int, int]]):
+    """Send the asked segments of each document: their bytes, or their single strings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, folder = Hasher(1 << 16), Folder(np.array(splitters, dtype=np.uint64))
-        most = (1 << 16) // (2 * LENGTH + 56)  # segments at once
+        hasher, splitters = Hasher(AT_ONCE * (2 * LENGTH + 56)), Splitters(cuts)
+        folder, held = Folder(splitters), Bytes(splitters)
 
         def rows() -> Iterator[tuple]:
             for batch in narrow_batches(batches, "_text"):
-                for key, text, payloads in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                    at, n = (np.concatenate(c) for c in zip(*map(runs_of, payloads)))
-                    for i in range(0, len(at), most):
-                        yield from folder.add(strings(hasher, key, text, at[i : i + most], n[i : i + most]))
+                for key, text, by_anchor, by_string in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3))):
+                    for payload in by_anchor:
+                        yield from held.add(key, text, *requests_of(payload))
+                    for payload in by_string:
+                        at, n, _, _ = requests_of(payload)
+                        for i in range(0, len(at), AT_ONCE):
+                            own = slice(i, i + AT_ONCE)
+                            cut = b"".join([text[a : a + c + LENGTH - 1] for a, c in zip(at[own].tolist(), n[own].tolist())])
+                            yield from folder.add(strings(hasher, cut, np.full(len(at[own]), key, "<i8"), at[own], n[own]))
+            yield from held.flush()
             yield from folder.flush()
 
         yield from _batches(rows())
@@ -317,21 +409,27 @@ def _find_strings(splitters: list[int]):
     return run
 
 
-def _compare(deeper: bool):
+def _compare(cuts: list[tuple[int, int]], deeper: bool):
     """Sort each bucket and compare neighbours. Equal ones but the first are runs; with ``deeper`` the first
-    ones of segments whose anchor has several kinds are requests to look at their strings."""
+    ones of segments whose anchor has several kinds, here or beyond a boundary, are asked for."""
 
-    def settle(bucket: int, tables: list) -> Iterator[tuple]:
+    def settle(bucket: int, tables: list, splitters: Splitters) -> Iterator[tuple]:
         table = ordered(joined(tables))
         first = changes(table[:3])
         yield from by_key(pick(table, ~first), RUNS, bucket)
-        if deeper:
+        if deeper and len(table[0]):
             table = pick(table, first)
             group = np.cumsum(changes(table[:2])) - 1
-            yield from by_key(pick(table, np.bincount(group)[group] > 1), REQUESTS, bucket)
+            cut = np.zeros(len(group), bool)
+            for at in (0, -1):  # only the first and the last anchor can go on beyond a boundary
+                if (int(table[0][at]), int(table[1][at])) in splitters.anchors:
+                    cut |= group == group[at]
+            yield from by_key(pick(table, cut), BY_STRING, bucket)
+            yield from by_key(pick(table, ~cut & (np.bincount(group)[group] > 1)), BY_ANCHOR, bucket)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, tables = None, []
+        hasher, splitters = Hasher(AT_ONCE * (2 * LENGTH + 56)), Splitters(cuts)
         for batch in batches:
             for bucket, kind, key, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == RUNS:
@@ -339,24 +437,26 @@ def _compare(deeper: bool):
                     continue
                 if bucket != now:
                     if tables:
-                        yield from settle(now, tables)
+                        yield from settle(now, tables, splitters)
                     now, tables = bucket, []
-                tables.append(unpacked(payload))
+                tables.append(unpacked(payload) if kind == SUFFIXES else strings_of(hasher, payload))
         if tables:
-            yield from settle(now, tables)
+            yield from settle(now, tables, splitters)
 
     return lambda batches: _batches(rows(batches))
 
 
-def _sample_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in narrow_batches(batches, "_text"):
-        leads = []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            if len(text) >= LENGTH:
-                at = np.unique(np.linspace(0, len(text) - LENGTH, SAMPLE_LEADS).astype(np.int64))
-                leads.append(leading(np.frombuffer(text, np.uint8), at))
-        if leads:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leads).view(np.int64))], names=["lead"])
+def _sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher(BLOCK + 2 * LENGTH)
+    for block in blocks(_texts(batches)):
+        table = segments(hasher, *block)
+        key, rest = table[3], rest_of(table[1], table[2])
+        order = np.random.default_rng(len(key)).permutation(len(key))
+        order = order[np.lexsort((np.arange(len(key)), key[order]))]  # at random within each document
+        first = np.flatnonzero(changes([key[order]]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        own = order[rank < SAMPLE_SUFFIXES]
+        yield pa.RecordBatch.from_arrays([pa.array(table[0][own].view(np.int64)), pa.array(rest[own].view(np.int64))], names=["lead", "rest"])
 
 
 def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -404,12 +504,12 @@ def keyed(docs: DataFrame, id_col: str) -> DataFrame:
     return named.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).drop("_tie", "_id", "_t")
 
 
-def splitters(rows: DataFrame, n: int) -> list[int]:
-    """n - 1 leading keys that cut the suffixes of a bounded sample of documents into equal shares."""
+def sampled_cuts(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """n - 1 boundaries that cut the suffixes of a bounded sample of documents into equal shares."""
     count = max(1, rows.count())
     sample = rows.sample(fraction=min(1.0, SAMPLE_DOCS / count), seed=5)
-    leads = np.array([r.lead for r in sample.mapInArrow(_sample_leads, "lead long").collect()], dtype=np.int64).view(np.uint64)
-    return np.unique(np.quantile(np.sort(leads), np.arange(1, n) / n, method="nearest")).astype(object).tolist() if len(leads) else []
+    found = sorted((r.lead & M64, r.rest & M64) for r in sample.mapInArrow(_sample_suffixes, "lead long, rest long").collect())
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
@@ -419,15 +519,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in docs.columns if c not in (*ADDED, text_col)]
     docs = keyed(docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), id_col)
     texts = docs.select("_key", "_text")
-    cuts = splitters(texts, BUCKETS_PER_TASK * n)
+    cuts = sampled_cuts(texts, BUCKETS_PER_TASK * n)
 
     def compared(found: DataFrame, deeper: bool) -> DataFrame:
         place = F.when(F.col("bucket") < 0, F.xxhash64("key")).otherwise(F.col("bucket").cast("long"))
-        return reliable(found.repartition(n, place).sortWithinPartitions("bucket").mapInArrow(_compare(deeper), ROWS))
+        return reliable(found.repartition(n, place).sortWithinPartitions("bucket").mapInArrow(_compare(cuts, deeper), ROWS))
 
     first = compared(texts.mapInArrow(_find_segments(cuts), ROWS), True)
-    asked = first.where(F.col("kind") == REQUESTS).groupBy("key").agg(F.collect_list("payload").alias("_asked"))
-    second = compared(texts.join(asked, F.col("_key") == F.col("key")).select("_key", "_text", "_asked").mapInArrow(_find_strings(cuts), ROWS), False)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("payload")))
+    asked = first.where(F.col("kind") != RUNS).groupBy("key").agg(of(BY_ANCHOR).alias("_by_anchor"), of(BY_STRING).alias("_by_string"))
+    near = texts.join(asked, F.col("_key") == F.col("key")).select("_key", "_text", "_by_anchor", "_by_string")
+    second = compared(near.mapInArrow(_look_closer(cuts), ROWS), False)
     runs = first.where(F.col("kind") == RUNS).unionByName(second).groupBy("key").agg(F.collect_list("payload").alias("_runs"))
     whole = docs.join(runs, F.col("_key") == F.col("key"), "left").select(*names, "_text", "_runs")
 
