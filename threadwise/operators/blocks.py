@@ -1,13 +1,14 @@
-"""Bounded blocks of a small side, for scans that compare it with every row of a large side.
+"""Meeting of two tables in blocks: every block of one side with every block of the other, in the executors.
 
-A block is collected only after its size was counted, is bounded in rows and bytes, and is shipped
-as one broadcast variable. A larger side is handled in several passes, never cut.
+Both sides are cut by a hash of their key. A pair of blocks is one cogroup, so a task holds two blocks
+whatever the tables' sizes, the plan does not grow with the data, and nothing passes the driver but two
+counts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,30 +17,44 @@ from pyspark.sql import functions as F
 from threadwise.config import Settings
 
 
-def blocks(
-    df: DataFrame, key: str, settings: Settings = Settings(), text: list[str] | None = None,
+def _parts(df: DataFrame, rows: int, size: list[str], most: int) -> int:
+    weigh = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in size), F.lit(0)).cast("long")
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(weigh), F.lit(0))).first()
+    return max(math.ceil(n / rows), math.ceil(total / most), 1)
+
+
+def meet(
+    left: DataFrame,
+    left_key: str,
+    right: DataFrame,
+    right_key: str,
+    score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    types: str,
+    settings: Settings = Settings(),
     rows: int | None = None,
-) -> Iterator[pd.DataFrame]:
-    """Yield the rows of ``df`` in blocks of at most ``rows`` rows, spread by a hash of the key."""
-    limit = rows or settings.block_rows
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text or []), F.lit(0)).cast("long")
-    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    parts = max(math.ceil(n / limit), math.ceil(total / settings.block_bytes), 1)
-    if parts == 1:
-        if n:
-            yield df.toPandas()
-        return
-    parts *= 2  # hash parts differ in size; half full on average leaves room
-    for part in range(parts):
-        block = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).limit(limit + 1).toPandas()
-        if len(block) > limit:
-            raise ValueError(f"block {part} holds more than {limit} rows; is {key} unique?")
-        if len(block):
-            yield block
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    text: list[str] | None = None,
+    within: str | None = None,
+) -> DataFrame:
+    """``score(left block, right block)`` for every pair of blocks; only rows equal in ``within`` must meet.
+
+    The right side's blocks are four times as large, as its rows are only passed by. ``text`` names
+    columns of any length, which count in the blocks' sizes.
+    """
+    size = text or []
+    n = _parts(left, rows or settings.block_rows, size, settings.block_bytes)
+    m = _parts(right, 4 * (rows or settings.block_rows), size, settings.block_bytes)
+    spread = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("_a", spread(left_key, n)).withColumn("_b", every(m))
+    b = right.withColumn("_b", spread(right_key, m)).withColumn("_a", every(n))
+    keys = ["_a", "_b", *([within] if within else [])]
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return score(x.drop(columns=["_a", "_b"]), y.drop(columns=["_a", "_b"]))
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(both, types)
+
+
+def slices(df: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(df), rows):
+        yield df.iloc[at : at + rows]
