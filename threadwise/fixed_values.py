@@ -218,4 +218,10 @@ TRANSITIONS = {
     "CLOSED": ("WAITING_FOR_HUMAN",),
 }
 
+# Texts that the store writes into a conversation; the escalation's reason is appended to the second.
+REOPENED_NOTE = "Conversation reopened by a new customer message."
+ESCALATED_NOTE = "Escalated to Human Support — "
+# Method of a template draft after an error of the model, named by its kind.
+ERROR_METHOD = "rules (llm_error: %s)"
+
 ID_SEPARATOR = "␟"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
+from threadwise.fixed_values import ERROR_METHOD
 from threadwise.functions import text as X
 from threadwise.lexicon import Lexicon
 
@@ -18,7 +19,7 @@ def draft_from_templates(
     lexicon: Lexicon,
     key: str = "query_id",
     intent: str = "intent",
-    top: int | None = None,
+    top: int = 3,
 ) -> DataFrame:
     """A fresh reply per query from its intent and its best hits; no reply is copied.
 
@@ -27,7 +28,7 @@ def draft_from_templates(
     """
     private = X.any_contained(F.lower(X.text_or_empty(F.col("brand_reply"))), lexicon.deflection)
     best = (
-        (hits if top is None else hits.where(F.col("rank") <= top))
+        hits.where(F.col("rank") <= top)
         .groupBy(key)
         .agg(
             F.sum(private.cast("int")).alias("_private"),
@@ -73,13 +74,13 @@ def verify_drafts(
     lexicon: Lexicon,
     key: str = "query_id",
     intent: str = "intent",
-    top: int = 3,
+    top: int | None = None,
 ) -> DataFrame:
     """Add ``ok`` and ``issues``. Hard: too short, a link no evidence shows, a promise of a completed
     action. Soft (``ok`` stays true): pure deflection, a safety reply without a calming word. All hits
     given are evidence, or those up to rank ``top``."""
     evidence = (
-        hits.where(F.col("rank") <= top)
+        (hits if top is None else hits.where(F.col("rank") <= top))
         .groupBy(key)
         .agg(F.collect_list(F.lower(X.text_or_empty(F.col("brand_reply")))).alias("_evidence"))
     )
@@ -123,24 +124,32 @@ def verify_drafts(
     ).drop("_evidence", "_low", "_links", "_hard", "_soft", "_short")
 
 
-def choose_draft(candidates: DataFrame, key: str = "query_id", attempt: str = "attempt") -> DataFrame:
-    """The first attempt that passed, else the last attempt (the template), marked as a fallback."""
-    rest = [c for c in candidates.columns if c not in (key, attempt)]
+def choose_draft(
+    candidates: DataFrame, key: str = "query_id", attempt: str = "attempt", error: str | None = None
+) -> DataFrame:
+    """The first attempt that passed, else the last attempt (the template), marked as a fallback.
+
+    ``error`` names the kind of error an attempt ended with, or null. An error before any attempt passed
+    also leads to the template, and the method says so."""
+    rest = [c for c in candidates.columns if c not in (key, attempt, error)]
     whole = F.struct(attempt, *rest)
+    kind = F.col(error) if error else F.lit(None).cast("string")
     picked = candidates.groupBy(key).agg(
         F.min_by(whole, F.when(F.col("ok"), F.col(attempt))).alias("_pass"),
         F.max_by(whole, F.col(attempt)).alias("_last"),
         F.min(attempt).alias("_start"),
+        F.min(F.when(F.col("ok"), F.col(attempt))).alias("_passed"),
+        F.min(F.when(kind.isNotNull(), F.struct(F.col(attempt).alias("at"), kind.alias("kind")))).alias("_error"),
     )
-    chosen = picked.select(key, "_start", F.coalesce("_pass", "_last").alias("c")).select(
-        key, "_start", "c.*"
-    )
+    broke = F.coalesce(F.col("_error.at") < F.col("_passed"), F.col("_error").isNotNull())
+    chosen = picked.select(
+        key, "_start", F.when(broke, F.col("_error.kind")).alias("_kind"), F.when(broke, F.col("_last")).otherwise(F.coalesce("_pass", "_last")).alias("c")
+    ).select(key, "_start", "_kind", "c.*")
     if "method" in rest:
         late = (F.col(attempt) > F.col("_start")) & F.col("method").startswith("rules")
-        chosen = chosen.withColumn(
-            "method", F.when(late, F.concat("method", F.lit(" (verify_fallback)"))).otherwise(F.col("method"))
-        )
-    return chosen.drop("_start")
+        method = F.when(F.col("_kind").isNotNull(), F.format_string(ERROR_METHOD, "_kind")).when(late, F.concat("method", F.lit(" (verify_fallback)")))
+        chosen = chosen.withColumn("method", method.otherwise(F.col("method")))
+    return chosen.drop("_start", "_kind")
 
 
 def verification_rate(df: DataFrame) -> DataFrame:

@@ -258,6 +258,22 @@ def replay_log(
     )
 
 
+def system_notes(
+    log: DataFrame, escalate: Column, reason: Column, key: str = "conv_id", order: Sequence[str] = ("ts", "seq")
+) -> DataFrame:
+    """The system messages of a replayed log: one before a message that reopens its conversation, one behind
+    an escalation of a conversation that was not waiting already. ``escalate`` marks such events."""
+    queued = escalate & ~F.col("rejected") & (F.col("status_before") != fixed.STATES[1])
+    notes = F.array_compact(
+        F.array(
+            F.when(F.col("reopened"), F.lit(fixed.REOPENED_NOTE)),
+            F.when(queued, F.concat(F.lit(fixed.ESCALATED_NOTE), reason)),
+        )
+    )
+    rows = log.select(key, *order, F.explode(notes).alias("text"))
+    return rows.withColumn("role", F.lit("system"))
+
+
 def drop_consecutive_dups(
     conv: DataFrame,
     key: str = "conv_id",

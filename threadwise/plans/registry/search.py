@@ -151,10 +151,12 @@ def g3_choose_draft(spark: SparkSession, sf: str) -> DataFrame:
     cand = tries.select(
         "query_id", "attempt",
         F.concat(F.lit("try "), F.col("attempt").cast("string")).alias("draft"),
+        F.when((F.col("attempt") < 2) & ((F.length("text") + F.col("attempt")) % 7 == 0), "Timeout").alias("error"),
         ((F.length("text") + F.col("attempt")) % 5 == 0).alias("ok"),
         F.when(F.col("attempt") == 2, "rules-synth").otherwise("model").alias("method"),
     )
-    return drafts.choose_draft(cand).select("query_id", "draft", "ok", "method")
+    cand = cand.withColumn("ok", F.col("ok") & F.col("error").isNull())
+    return drafts.choose_draft(cand, error="error").select("query_id", "draft", "ok", "method")
 
 
 def g4_verification_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,9 +307,10 @@ SQL = {
           ') without copying any reply verbatim.') AS justification FROM kind""",
     "g2_verify_drafts": f"WITH {SPACE_SQL}, {TOP3}, {PADDED}, {CHECKED} SELECT query_id, ok, issues FROM ver_",
     "g3_choose_draft": f"""WITH {c.turns_sql()}, t AS (SELECT query_id, len(text) AS n FROM turns),
-      a AS (SELECT query_id, CASE WHEN n % 5 = 0 THEN 0 WHEN (n + 1) % 5 = 0 THEN 1 ELSE 2 END AS at_, n FROM t)
-      SELECT query_id, concat('try ', at_) AS draft, (n + at_) % 5 = 0 AS ok,
-        CASE WHEN at_ = 2 THEN 'rules-synth (verify_fallback)' ELSE 'model' END AS method FROM a""",
+      a AS (SELECT query_id, n, CASE WHEN n % 7 = 0 THEN 3 WHEN n % 5 = 0 THEN 0 WHEN (n + 1) % 7 = 0 THEN 3
+        WHEN (n + 1) % 5 = 0 THEN 1 ELSE 2 END AS at_ FROM t)
+      SELECT query_id, concat('try ', least(at_, 2)) AS draft, (n + least(at_, 2)) % 5 = 0 AS ok,
+        CASE WHEN at_ = 3 THEN 'rules (llm_error: Timeout)' WHEN at_ = 2 THEN 'rules-synth (verify_fallback)' ELSE 'model' END AS method FROM a""",
     "g4_verification_rate": f"""WITH {SPACE_SQL}, {TOP3}, {PADDED}, {CHECKED}
       SELECT count(*) AS n, sum(ok::INT)::BIGINT AS n_pass, round(avg(ok::INT), 6) AS pass_rate,
         sum(hard::INT)::BIGINT AS n_hard_fail FROM ver_""",
