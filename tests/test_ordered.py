@@ -47,14 +47,20 @@ def test_tails_equal_plain_windows_across_chunks(spark):
         same(got.select("k", "t", "h"), want.select("k", "t", "h"))
 
 
-def test_only_hot_keys_are_cut(spark):
-    df = hot_rows(spark).withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
-    marked, cut = O.hot_time_chunk(df, "k", "ts", hot_rows=200)
-    chunks = {r.k: r.n for r in marked.withColumn("c", cut).groupBy("k").agg(F.countDistinct("c").alias("n")).collect()}
-    assert chunks.pop(1) > 50 and set(chunks.values()) == {1}
-    w = Window.partitionBy("k").orderBy("ts")
-    got = O.with_neighbour(marked, ["k"], ["ts"], cut, ["v"], "n").select("k", "t", "n")
-    same(got, df.withColumn("n", F.lag(F.struct("v")).over(w)).select("k", "t", "n"))
+def test_only_hot_keys_are_cut_and_by_rows(spark, monkeypatch):
+    """One key holds half of the rows within one hour; no chunk has more than the stated rows and a second's."""
+    df = hot_rows(spark).withColumn("ts", F.timestamp_seconds(F.col("t")))
+    for most in (O.CUT_ROWS, 10):  # cuts broadcast, and joined
+        monkeypatch.setattr(O, "CUT_ROWS", most)
+        marked, cut = O.hot_time_chunk(df, "k", "ts", hot_rows=60)
+        sizes = marked.withColumn("c", cut).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+        assert max(r.n for r in sizes) <= 61
+        assert len([r for r in sizes if r.k == 1]) >= 6
+        w = Window.partitionBy("k").orderBy("ts")
+        got = O.with_neighbour(marked, ["k"], ["ts"], cut, ["v"], "n").select("k", "t", "n")
+        same(got, df.withColumn("n", F.lag(F.struct("v")).over(w)).select("k", "t", "n"))
+    cold, cut = O.hot_time_chunk(df, "k", "ts", hot_rows=2000)
+    assert cold.select(cut.alias("c")).distinct().collect() == [(0,)]
 
 
 def test_no_window_over_a_whole_key(spark):

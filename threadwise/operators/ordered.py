@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadwise.session import reliable
+
 CHUNK_ROWS = 4096
 
 
@@ -30,22 +32,31 @@ def time_chunk(column: str, unit: str = "hour") -> Column:
 
 
 HOT_ROWS = 1_000_000
+CUT_ROWS = 1_000_000
 
 
 def hot_time_chunk(
-    df: DataFrame, key: str, column: str, unit: str = "hour", hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, column: str, unit: str = "second", hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, Column]:
-    """Rows marked with whether their key is hot, and the chunk that cuts only hot keys by time.
+    """Rows with ``_hot``, and the chunk made of it: keys of more than ``hot_rows`` rows are cut, by rows.
 
-    Counts per key are pre-aggregated before they are shuffled. At most one key per ``hot_rows``
-    rows can be hot, which bounds what is broadcast: a million rows for 10^12 events.
+    Counts per key and second are pre-aggregated. Along a hot key's seconds a running total gives each
+    second its chunk, so a chunk holds at most ``hot_rows`` rows and those of one second. The cuts are
+    written and counted here (one job): without any the rows are left as they are; up to ``CUT_ROWS`` of
+    them are broadcast; beyond they are joined by shuffle.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), key, "left")
-    whole = F.lit("1970-01-01").cast("timestamp")
-    cut = F.when(F.col("_hot"), F.date_trunc(unit, F.col(column))).otherwise(whole)
-    return marked, cut
+    slot = F.date_trunc(unit, F.col(column))
+    counts = df.groupBy(key, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.groupBy(key).agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot_rows).select(key)
+    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sofar = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    cuts = reliable(counts.join(hot, key, "left_semi").select(key, "_slot", (F.floor(sofar / hot_rows) + 1).alias("_hot")))
+    n = cuts.count()
+    if n:
+        marked = df.withColumn("_slot", slot).join(F.broadcast(cuts) if n <= CUT_ROWS else cuts, [key, "_slot"], "left").drop("_slot")
+    else:
+        marked = df.withColumn("_hot", F.lit(None).cast("long"))
+    return marked, F.coalesce("_hot", F.lit(0))
 
 
 def with_neighbour(
