@@ -68,7 +68,7 @@ def test_lexical_equals_dense_tfidf_on_both_sides_of_the_bound(spark):
     docs, asks, corpus, queries, model = setup(spark)
     plain, ids = Plain([t for _, t in docs]), [i for i, _ in docs]
     sims = plain.matrix([t for _, t in asks]) @ plain.matrix([t for _, t in docs]).T
-    for m in (model, replace(model, settings=replace(Settings(), broadcast_postings=1))):
+    for m in (model, replace(model, settings=replace(Settings(), broadcast_bytes=0))):
         got = collect_hits(R.topk_lexical(m, queries, corpus, 3, pad=True))
         for row, (q, _) in enumerate(asks):
             want = ranked(sims[row], ids, 3)
@@ -162,3 +162,29 @@ def test_drafts(spark):
     assert got[5] == (True, [])
     checked = G.verify_drafts(rows, hits, LEX).withColumn("method", F.lit("model")).select("query_id", "attempt", "draft", "ok", "issues", "method")
     assert G.choose_draft(checked).first().draft == texts[1][0]
+
+
+def test_threshold_scores_fewer_pairs_and_loses_none(spark):
+    import random
+
+    from threadwise.operators import retrieval as ops
+
+    rng = random.Random(3)
+
+    def postings(key, n, terms):
+        rows = []
+        for i in range(n):
+            picked = {min(int(rng.expovariate(0.15)), 59) for _ in range(terms)}
+            raw = {t: rng.random() * (1 + t / 10) for t in picked}
+            norm = sum(w * w for w in raw.values()) ** 0.5
+            rows += [(f"{key}{i}", t, w / norm) for t, w in raw.items()]
+        return spark.createDataFrame(rows, f"{key} string, term_id int, weight double")
+
+    asked, docs = postings("q", 40, 6), postings("d", 120, 8)
+    every = ops.cosine_pairs(asked, docs, "q", "d")
+    some = ops.cosine_pairs(asked, docs, "q", "d", at_least=0.6)
+    high = lambda df: {(r.q, r.d, r.score) for r in df.collect() if r.score >= 0.6}
+    assert high(some) == high(every) and high(every)
+    assert some.count() < 0.6 * every.count()
+    joined = ops.cosine_pairs(asked, docs, "q", "d", settings=replace(Settings(), broadcast_bytes=0))
+    assert {(r.q, r.d, r.score) for r in joined.collect()} == {(r.q, r.d, r.score) for r in every.collect()}

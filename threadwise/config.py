@@ -31,6 +31,6 @@ class Settings:
 
     # Physical sizes. They bound what one task or one broadcast holds and never change a result.
     chunk_rows: int = 4096
-    broadcast_postings: int = 2_000_000
+    broadcast_bytes: int = 64 * 1024 * 1024
     block_rows: int = 4096
     block_bytes: int = 64 * 1024 * 1024

@@ -118,11 +118,15 @@ def cosine_pairs(
     doc: str,
     same: Sequence[str] = (),
     settings: Settings = Settings(),
+    at_least: float = 0.0,
 ) -> DataFrame:
-    """Cosine of every (query, document) that share a term, from postings.
+    """Cosine of every (query, document) that share a term, from postings of unit vectors.
 
     ``same`` lists columns that must agree; a null on the query side agrees with everything.
-    Queries within the broadcast bound stay beside the corpus partitions: products are summed per
+    With ``at_least`` only pairs that can reach it are scored: a query's terms from the rarest on up to
+    where the norm of the rest falls below it (``reaching``) must meet one of the document's, since
+    without them the product cannot exceed that norm.
+    Queries of up to ``broadcast_bytes`` stay beside the corpus partitions: products are summed per
     document where it lies and no pair is shuffled. Beyond the bound the postings meet on the term,
     where adaptive execution splits frequent terms.
     """
@@ -131,16 +135,41 @@ def cosine_pairs(
         query, F.col("term_id").alias("_t"), F.col("weight").alias("_qw"),
         *[F.col(c).alias(f"_same_{c}") for c in same],
     )
-    if queries.count() <= settings.broadcast_postings:
-        ours = F.broadcast(ours)
-    met = corpus.join(ours, F.col("term_id") == F.col("_t"))
-    for c in same:
-        met = met.where(F.col(f"_same_{c}").isNull() | (F.col(f"_same_{c}") == F.col(c)))
-    return met.groupBy(doc, query).agg(
+    if at_least > 0:
+        first = reaching(queries, corpus, query, at_least).select(
+            query, F.col("term_id").alias("_t"), *[F.col(c).alias(f"_same_{c}") for c in same]
+        )
+        met = _agreeing(corpus.join(first, F.col("term_id") == F.col("_t")), same)
+        pairs = reliable(met.select(doc, query).distinct())
+        products = corpus.select(doc, "term_id", "weight").join(pairs, doc).join(
+            queries.select(query, "term_id", F.col("weight").alias("_qw")), [query, "term_id"]
+        )
+    else:
+        size = queries.agg(F.sum(F.octet_length(F.col(query).cast("string")) + 32).alias("n")).head()
+        if (size.n or 0) <= settings.broadcast_bytes:
+            ours = F.broadcast(ours)
+        products = _agreeing(corpus.join(ours, F.col("term_id") == F.col("_t")), same)
+    return products.groupBy(doc, query).agg(
         F.round(F.sum(F.col("weight") * F.col("_qw")), 4).alias("score")
     )
 
 
+def _agreeing(met: DataFrame, same: Sequence[str]) -> DataFrame:
+    for c in same:
+        met = met.where(F.col(f"_same_{c}").isNull() | (F.col(f"_same_{c}") == F.col(c)))
+    return met
+
+
+def reaching(queries: DataFrame, corpus: DataFrame, query: str, at_least: float) -> DataFrame:
+    """The postings of each query that a document must meet to reach ``at_least``: its rarest terms.
+    The bound is lowered by the rounding of scores. There is one row per term in the frequencies."""
+    met = corpus.groupBy("term_id").agg(F.count(F.lit(1)).alias("_met"))
+    order = Window.partitionBy(query).orderBy(F.coalesce("_met", F.lit(0)), "term_id")
+    rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ranked = queries.join(met, "term_id", "left").withColumn("_rest", F.sqrt(rest))
+    return ranked.where((F.col("_rest") >= at_least - 1e-4) & F.col("_met").isNotNull()).drop("_rest", "_met")
+
+
 def topk_lexical(
     model: TfidfModel,
     queries: DataFrame,
@@ -227,6 +256,7 @@ def retrieve_verified(
         "resolution_id",
         same,
         model.settings,
+        model.settings.resolution_similarity,
     ).where(F.col("score") >= model.settings.resolution_similarity)
     hits = best_k(scored, query, "resolution_id", k)
     told = docs.select(
