@@ -24,7 +24,48 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _op1_sql() -> str:
+    limits, known = quality_rules.Limits(), quality_rules.vocabulary()
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    spelt = quoted([*known, *{w.capitalize() for w in known}, *{w.upper() for w in known if len(w) > 1}])
+    langs, space, k = quoted(quality_rules.COMMON_WORDS), r"\x20\x09-\x0D", limits.window
+    gone = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
+    half = lambda x, m: f"(CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END)"
+    part = f"({half('p', '((p + r) / 2)')} + {half('r', '((p + r) / 2)')})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{space}]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS ls FROM d),
+m AS (SELECT *, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+        {gone('[^A-Z]+')} AS up, {gone('[^0-9]+')} AS dig, {gone(r'[\x00-\x7F]+')} AS far,
+        {gone(r'[a-zA-Z0-9' + space + r'#*$%&|<>]|[^\x00-\x7F]')} AS oth FROM w),
+tok AS (SELECT rid, lang, n_words, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM m),
+win AS (SELECT rid, i, list(x) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS g FROM tok),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win WHERE len(g) = {k}) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT i + z) AS n_repeat_words FROM rep, range({k}) AS r(z) GROUP BY 1),
+cls AS (SELECT rid, lang, n_words, unnest(cl) AS n, generate_subscripts(cl, 1) AS c FROM (
+  SELECT *, [length(t) - up - dig - (length(t) - word_chars) - n_symbols - far - oth, up, dig, length(t) - word_chars, n_symbols, far, oth] AS cl FROM m)),
+com AS (SELECT rid, lang, n_words, lower(x) AS w, count(*) AS n FROM tok WHERE x IN ({spelt}) GROUP BY ALL),
+cref AS (SELECT lang, c, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS r FROM cls WHERE n_words >= {limits.min_words} AND lang IN ({langs}) GROUP BY lang, c),
+wref AS (SELECT lang, w, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS r FROM com WHERE n_words >= {limits.min_words} AND lang IN ({langs}) GROUP BY lang, w),
+cp AS (SELECT rid, c, n / sum(n) OVER (PARTITION BY rid) AS p, sum(n) OVER (PARTITION BY rid) AS n_chars FROM cls),
+cd AS (SELECT rid, any_value(n_chars) AS n_chars, sqrt(greatest(0, sum({part}) / 2)) AS dist FROM cp JOIN cref USING (c) WHERE n_chars > 0 GROUP BY rid, lang),
+cm AS (SELECT rid, any_value(n_chars) AS n_chars, min(dist) AS char_distance FROM cd GROUP BY 1),
+wp AS (SELECT rid, w, n / sum(n) OVER (PARTITION BY rid) AS p, sum(n) OVER (PARTITION BY rid) AS n_common FROM com),
+wl AS (SELECT wp.*, l.lang, coalesce(wref.r, 0) AS r FROM wp CROSS JOIN (SELECT DISTINCT lang FROM cref) l LEFT JOIN wref ON wref.lang = l.lang AND wref.w = wp.w),
+wd AS (SELECT rid, any_value(n_common) AS n_common, sqrt(greatest(0, (sum({part} - r) + 1) / 2)) AS dist FROM wl GROUP BY rid, lang),
+wm AS (SELECT rid, any_value(n_common) AS n_common, min(dist) AS word_distance FROM wd GROUP BY 1),
+f AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_rep, n_words < {limits.min_words} OR 100 * coalesce(n_repeat_words, 0) > {limits.max_repeat_percent} * n_words AS base_failed,
+        n_chars, char_distance, n_common, word_distance FROM m LEFT JOIN cov USING (rid) LEFT JOIN cm USING (rid) LEFT JOIN wm USING (rid))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_chars >= {limits.min_chars} AND char_distance > {limits.max_char_distance}, false)
+    AND NOT coalesce(n_common >= {limits.min_common} AND word_distance > {limits.max_word_distance}, false) AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM f"""
 
 
 # ---------------------------------------------------------------- 2 repeated passages
@@ -175,4 +216,4 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
 }
 
-SQL = {"op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql()}
+SQL = {"op1_quality_rules": _op1_sql(), "op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql()}
