@@ -28,21 +28,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """``max_words`` bounds the memory of a task; a full table is begun anew, which changes no result."""
+    """``max_words`` and ``max_pieces`` bound the memory of a task; a full table is begun anew, which
+    changes no result."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.max_words = max_words
+        self.max_words, self.max_pieces = max_words, max_pieces
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self._begin()
 
     def _begin(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self.flat = np.empty(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # of word i: ends[i + 1]
 
@@ -73,6 +74,8 @@ class WordEncoder:
     def _some(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.at) > self.max_words:
             self._begin()
+        if len(self.pieces) > self.max_pieces:
+            self.pieces = {}
         new = set(chain.from_iterable(words)).difference(self.at)
         if new:
             self._learn(new)
