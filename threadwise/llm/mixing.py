@@ -97,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     docs = docs.drop(*[c for c in ADDED if c != "size" and c in docs.columns])
     spark, n_docs = docs.sparkSession, docs.count()
     n = 1
-    while n < min(65_536, n_docs // rows_per_bucket):
+    while n < min(65_536, max(partitions(spark), n_docs // rows_per_bucket)):
         n *= 2
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = docs.withColumn("_src", source_key(F.col(source_col))).withColumn("_mark", mark)
