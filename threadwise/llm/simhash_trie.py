@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadwise.llm.common import as_bytes, narrow_batches
+from threadwise.llm.common import as_bytes, narrow_batches, partitions
 from threadwise.llm.components import components
 from threadwise.session import reliable
 
@@ -31,6 +31,7 @@ SHINGLE = 3
 SEED = 42
 BUDGET = 3
 NODE_ROWS = 20_000
+SMALL_NODE = 500
 LEAF_PAIRS = 32
 FRONTIER = 1 << 18
 PIECE = 1 << 19
@@ -197,11 +198,13 @@ def _join_nodes(bits: int, budget: int):
 
 def near_links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (u, v) that connect just the fingerprints connected by pairs within the budget. A task holds the
-    distinct fingerprints of two top nodes, 8 bytes each; the cut is chosen for ``node_rows`` in a node."""
-    n, bits = distinct.count(), 0
-    while bits < 14 and n >> bits > node_rows:
+    distinct fingerprints of two top nodes, 8 bytes each; the cut is chosen for ``node_rows`` in a node,
+    and for as many pairs of nodes as there are tasks, unless nodes get small."""
+    n, tasks, bits = distinct.count(), partitions(distinct.sparkSession), 0
+    near = lambda bits: [x for x in range(1 << bits) if x.bit_count() <= budget]
+    while bits < 14 and (n >> bits > node_rows or (n >> bits > SMALL_NODE and len(near(bits)) << bits < 2 * tasks)):
         bits += 1
-    flips = [x for x in range(1 << bits) if x.bit_count() <= budget]
+    flips = near(bits)
     top = F.shiftrightunsigned(F.col("fp"), 64 - bits) if bits else F.lit(0).cast("long")
     rows = distinct.select("fp", top.alias("t"), F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
     other = F.col("t").bitwiseXOR(F.col("flip"))
