@@ -63,3 +63,14 @@ def test_long_text_empty_table_and_clashing_names(spark):
 def test_no_python_in_the_plan(spark):
     df = q.judge(spark.createDataFrame([(1, "a", "en", "s", 1)], brute.DOCS))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_without_common_words_go_in_the_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(q.COMMON_WORDS["en"].split() + brute.lexicon(rng, 20)) for _ in range(200))
+    junk = lambda n: " ".join("x" + "".join(rng.choice("aeioungkt") for _ in range(7)) for _ in range(n))
+    rows = [(i, prose(), "en", "s", 1) for i in range(20)] + [(50, junk(300), "en", "s", 1), (51, junk(40), "en", "s", 1)]
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, brute.DOCS), "").collect()}
+    assert kept == {*range(20), 51}

@@ -141,8 +141,11 @@ def word_distance(common: Column, n_common: Column, reference: dict[str, float])
     return F.when(n_common > 0, F.sqrt(F.greatest(F.lit(0.0), (total + 1) / 2)))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), references: dict | None = None, with_text: bool = False) -> DataFrame:
-    """The input, without its text if not wanted, with ``ADDED``. The measures are written once and read for both passes."""
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), references: dict | None = None, with_text: bool = False, judged_words: int | None = None) -> DataFrame:
+    """The input, without its text if not wanted, with ``ADDED``. The measures are written once and read for both passes.
+
+    With ``judged_words``, every text of so many words is judged by its words, however few are common; a text
+    without any common word shares none with a reference, so its distance is 1."""
     rows = reliable(measured(docs, text_col, limits, with_text))
     if references is None:
         references = learn_references(rows, lang_col, limits.min_words) if lang_col in docs.columns else {}
@@ -151,9 +154,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit
     nearest = lambda values: F.array_min(F.array(*values)) if values else F.lit(None).cast("double")
     rows = rows.withColumn("char_distance", nearest([class_distance(F.col("_classes"), r) for r, _ in references.values()]))
     rows = rows.withColumn("word_distance", nearest([word_distance(F.col("_common"), n_common, r) for _, r in references.values()]))
+    long = n_common >= limits.min_common
+    if judged_words is not None and references:
+        rows = rows.withColumn("word_distance", F.coalesce("word_distance", F.lit(1.0)))
+        long = long | (F.col("n_words") >= judged_words)
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     strange = (n_chars >= limits.min_chars) & (F.col("char_distance") > limits.max_char_distance)
-    foreign = (n_common >= limits.min_common) & (F.col("word_distance") > limits.max_word_distance)
+    foreign = long & (F.col("word_distance") > limits.max_word_distance)
     rows = rows.withColumn("base_failed", failed)
     rows = rows.withColumn("kept", ~failed & ~F.coalesce(strange, F.lit(False)) & ~F.coalesce(foreign, F.lit(False)))
     return rows.drop("_classes", "_common")
