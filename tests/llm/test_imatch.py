@@ -61,3 +61,14 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     df = imatch.fingerprints(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_term_in_the_band_counts_and_texts_without_one_differ(spark):
+    band = [f"t{k}" for k in range(40)]
+    docs = [(2 * k + i, t) for k, t in enumerate(band) for i in (0, 1)]  # each term in 2 of some 100 documents
+    docs += [(200, "rare words"), (201, "WORDS, rare"), (202, "other ones"), (203, ""), (204, "!!")] + [(300 + i, f"z{i}") for i in range(20)]
+    got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len({got[2 * k].fingerprint for k in range(40)}) == 40
+    assert got[200].fingerprint == got[201].fingerprint and got[200].near_next == 1
+    assert len({got[i].fingerprint for i in (200, 202, 203, 204)}) == 4
+    assert got[201].near_next == got[202].near_next == got[203].near_next == 0

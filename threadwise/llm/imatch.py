@@ -1,8 +1,8 @@
 """Operator 5: document fingerprints by I-Match with randomised lexicons. DataFrame functions only.
 
 The lexicon holds the terms whose document frequency, as a share of all documents, lies in a band, that is
-whose inverse document frequency does. It is dealt by a seeded hash into ``DEALT`` random subsets, of which ``SUBSETS`` are
-used, so that a subset meets a document in a few terms and an edit leaves some parts as they were. A
+whose inverse document frequency does. All of it is dealt by a seeded hash into ``SUBSETS`` random subsets, so that every term in the band
+counts and an edit leaves some parts as they were. A
 document's distinct terms in a subset are sorted and hashed to one part of its fingerprint; the likeness
 of two documents is the share of equal parts among those that either has. A term in the band is in at
 least ``MIN_SHARE`` of all documents, so there are at most (mean distinct terms of a document) /
@@ -14,8 +14,8 @@ the successor. For that, documents go to ranges of ids, and the first document o
 sent to the range before, so a successor is always in the same range.
 
 Defined cases: a null text is empty; a null id comes last; equal ids follow one another by their text's
-hash; the only document is its own successor; without a term in the lexicon all parts are empty, and two
-such fingerprints are alike; an empty table gives no row; other columns are left out.
+hash; the only document is its own successor; without a term in the lexicon all parts are the hash of the
+distinct terms, without any term that of the text; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -42,13 +42,14 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """(term, subset, h) of the terms in the band, by the frequencies in all documents."""
+def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, dealt_to: int = DEALT) -> DataFrame:
+    """(term, subset, h) of the terms in the band, by the frequencies in all documents; with ``dealt_to`` over
+    ``SUBSETS``, of a random share of them."""
     n = docs.count()
     counts = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.where((F.col("df") >= F.greatest(F.lit(MIN_DOCS), F.lit(min_share * n))) & (F.col("df") <= F.lit(max_share * n)))
     h = F.xxhash64(F.lit(SEED), "term")
-    dealt = band.select("term", F.pmod(h, F.lit(DEALT)).cast("int").alias("subset"), h.alias("h"))
+    dealt = band.select("term", F.pmod(h, F.lit(dealt_to)).cast("int").alias("subset"), h.alias("h"))
     return reliable(dealt.where(F.col("subset") < SUBSETS))
 
 
@@ -82,6 +83,17 @@ def parts_of(found: str, slot: int) -> Column:
     return F.transform(F.array(named), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: part(m, j)))[0]
 
 
+def whole_hash(text: Column) -> Column:
+    """What the parts of a text without a term in the lexicon are made from."""
+    terms = F.sort_array(terms_of(text))
+    return F.when(F.size(terms) > 0, F.xxhash64(F.lit(SEED), terms)).otherwise(F.xxhash64(F.lit(SEED), text))
+
+
+def or_whole(parts: Column, whole: Column) -> Column:
+    part = lambda j: F.lower(F.lpad(F.hex(F.xxhash64(whole, j).bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    return F.when(F.exists(parts, lambda x: x != EMPTY), parts).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part))
+
+
 def likeness(a: Column, b: Column) -> Column:
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda z: z))
     some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) | (y != EMPTY)), lambda z: z))
@@ -91,7 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """The id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = lexicon(docs, "text") if words is None else words
+    words = lexicon(docs, "text", dealt_to=SUBSETS) if words is None else words
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
     rows = with_successor(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -101,14 +113,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = F.array(F.struct(F.lit(-1).alias("which"), F.lit("").alias("term")))  # keeps a document without terms
     # Texts end here: what is exploded carries the hash and no text.
     terms = F.concat(mark, F.transform(terms_of(F.col("text")), pair(0)), F.transform(terms_of(F.col("_edited")), pair(1)))
-    carried = ["_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256)).select(*carried, terms.alias("_terms"))
+    carried = ["_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1"]
+    rows = rows.withColumns({"edited_sha256": F.sha2("_edited", 256), "_w0": whole_hash(F.col("text")), "_w1": whole_hash(F.col("_edited"))}).select(*carried, terms.alias("_terms"))
     seen = rows.select(*carried, F.inline("_terms"))
     hits = seen.join(words, "term", "left").where("which < 0 OR h IS NOT NULL")
     pairs = F.collect_list(F.when(F.col("h").isNotNull(), F.struct((F.col("which") * SUBSETS + F.col("subset")).alias("s"), "h")))
-    whole = hits.groupBy("_b", "_n").agg(*[F.first(c).alias(c) for c in ("_ghost", "doc_id", "n_chars", "edited_sha256")], F.sort_array(pairs).alias("_f"))
+    whole = hits.groupBy("_b", "_n").agg(*[F.first(c).alias(c) for c in ("_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1")], F.sort_array(pairs).alias("_f"))
     whole = whole.withColumn("_ends", F.expr("filter(transform(_f, (y, i) -> struct(y.s, i + 1 AS e)), x -> x.e = size(_f) OR get(_f, x.e).s <> x.s)"))
-    whole = whole.select("_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256", parts_of("_f", 0).alias("_own"), parts_of("_f", SUBSETS).alias("_new"))
+    whole = whole.select("_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1", parts_of("_f", 0).alias("_own"), parts_of("_f", SUBSETS).alias("_new"))
+    whole = whole.withColumns({"_own": or_whole(F.col("_own"), F.col("_w0")), "_new": or_whole(F.col("_new"), F.col("_w1"))})
     whole = whole.withColumn("_other", F.lead("_own").over(Window.partitionBy("_b").orderBy("_n"))).where("NOT _ghost")
     return whole.select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256",
