@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.llm import arc, fst_count, imatch, mixing, packing, quality_rules, simhash_trie, suffix_dedup, token_frames, url_rules
+from threadwise.llm import arc, fst_count, imatch, mixing, packing, periodic_runs, quality_rules, simhash_trie, suffix_dedup, token_frames, url_rules, voronoi_join
 from threadwise.llm.common import table
 
 
@@ -203,6 +203,72 @@ SELECT page_id, host, path, rule,
 FROM r"""
 
 
+# ---------------------------------------------------------------- 11 periodic runs
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.made_periodic(table(spark, sf, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.withColumn("best", periodic_runs.strongest())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    byte = f"list_transform(generate_series(1, length({text})), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(c, b), generate_series(1, 8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: {bits}), 4294967295)"
+
+
+#: Matches of five words in a row at a lag, stretches of such places, the smallest lag per stretch.
+OP11_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+             {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g FROM t),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(generate_series(0, n - 1), lambda i: ws[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE ws END AS ws FROM p),
+w AS (SELECT rid, n, unnest(generate_series(4, n - 1)) AS i, ws FROM d WHERE n >= 6),
+f AS (SELECT rid, n, i, hash(ws[i - 3 : i + 1]) AS five FROM w),
+m AS (SELECT x.rid, x.i, x.i - y.i AS q FROM f x JOIN f y ON x.rid = y.rid AND x.five = y.five AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+s AS (SELECT rid, q, min(i) - 4 AS first, count(*) + 4 AS m
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS stretch FROM m) GROUP BY rid, q, stretch),
+r AS (SELECT rid, first - q AS start, m + q AS length, min(q) AS period FROM s WHERE m + q >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+b AS (SELECT rid, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+        first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best,
+        list(struct_pack(f := start + period, t := start + length)) AS gone FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: len(list_filter(gone, lambda z: i - 1 >= z.f AND i - 1 < z.t)) = 0) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (rid)"""
+
+
+# ---------------------------------------------------------------- 13 exact top-k
+
+QUERY_EVERY = 20
+SCALE = 64
+
+
+def op13_voronoi_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", voronoi_join.whole(F.col("embedding"), SCALE).alias("vec"))
+    return voronoi_join.top_k(rows.where(F.col("vec_id") % QUERY_EVERY == 0), rows)
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+      FROM v q JOIN v x ON q.vec_id % {QUERY_EVERY} = 0 AND x.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {voronoi_join.K}"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -214,6 +280,8 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_voronoi_topk": op13_voronoi_topk,
 }
 
-SQL = {"op1_quality_rules": _op1_sql(), "op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql()}
+SQL = {"op1_quality_rules": _op1_sql(), "op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql(), "op11_periodic_runs": OP11_SQL, "op13_voronoi_topk": OP13_SQL}
