@@ -64,7 +64,7 @@ def texts(rng):
         words = []
         for _ in range(rng.randint(0, 6)):
             words += brute.mixed_text(rng, rng.randint(1, 9), lex).split() * rng.choice([1, 1, 4, 5, 7])
-        yield i, rng.choice([" ", "\n", " \t "]).join(words)
+        yield 1000 + i, rng.choice([" ", "\n", " \t "]).join(words)
 
 
 def test_query_equals_brute_force(spark, tmp_path):
