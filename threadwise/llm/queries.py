@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.llm import arc, fst_count, imatch, mixing, packing, periodic_runs, quality_rules, simhash_trie, suffix_dedup, token_frames, url_rules, voronoi_join
+from threadwise.llm import arc, collocations, fst_count, imatch, mixing, packing, periodic_runs, quality_rules, simhash_trie, suffix_dedup, token_frames, url_rules, voronoi_join
 from threadwise.llm.common import table
 
 
@@ -249,6 +249,39 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS star
 FROM d LEFT JOIN b USING (rid)"""
 
 
+# ---------------------------------------------------------------- 12 collocations
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
+def _op12_sql() -> str:
+    c = collocations
+    cut = lambda k, n: f"SELECT lang, p, n, f, {k} AS k, array_to_string(string_split(p, ' ')[:{k}], ' ') AS x, array_to_string(string_split(p, ' ')[{k + 1}:], ' ') AS y FROM f WHERE n = {n}"
+    cuts = " UNION ALL ".join(cut(k, n) for n in range(2, c.LONGEST + 1) for k in range(1, n))
+    inner = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(string_split(p, ' ')[{i + 1}:{i + n}], ' ') AS p, f FROM f WHERE n = {m}"
+        for m in range(3, c.LONGEST + 1) for n in range(2, m) for i in range(m - n + 1)
+    )
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k AS n, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS p
+      FROM w, (SELECT unnest(generate_series(1, {c.LONGEST})) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, p, any_value(n) AS n, count(*)::BIGINT AS f FROM g GROUP BY lang, p HAVING count(*) >= {c.THRESHOLD}),
+c AS ({cuts}),
+v AS (SELECT c.lang, c.p, c.f AS a, c.k, x.f AS l, y.f AS r, ({2 * c.SCALE}::HUGEINT * c.f) // (x.f + y.f) AS score
+      FROM c JOIN f x ON c.lang = x.lang AND c.x = x.p JOIN f y ON c.lang = y.lang AND c.y = y.p),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+i AS (SELECT lang, p, max(f) AS longer FROM ({inner}) GROUP BY lang, p),
+k AS (SELECT b.* FROM b LEFT JOIN i USING (lang, p) WHERE longer IS NULL OR 100::HUGEINT * longer < {c.SHARE}::HUGEINT * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM k)
+SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN t USING (lang) WHERE rank <= {c.TOP}"""
+
+
 # ---------------------------------------------------------------- 13 exact top-k
 
 QUERY_EVERY = 20
@@ -281,7 +314,8 @@ QUERIES = {
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_voronoi_topk": op13_voronoi_topk,
 }
 
-SQL = {"op1_quality_rules": _op1_sql(), "op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql(), "op11_periodic_runs": OP11_SQL, "op13_voronoi_topk": OP13_SQL}
+SQL = {"op1_quality_rules": _op1_sql(), "op7_mixing": OP7_SQL, "op9_arc_to_warc": OP9_SQL, "op10_url_rules": _op10_sql(), "op11_periodic_runs": OP11_SQL, "op12_collocations": _op12_sql(), "op13_voronoi_topk": OP13_SQL}
