@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from threadwise.llm.common import partitions
 from threadwise.session import reliable
 
-SUBSETS = 32
-DEALT = 128
+SUBSETS = 64
 MIN_SHARE = 0.001
 MAX_SHARE = 0.1
 MIN_DOCS = 2
@@ -42,15 +41,13 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, dealt_to: int = DEALT) -> DataFrame:
-    """(term, subset, h) of the terms in the band, by the frequencies in all documents; with ``dealt_to`` over
-    ``SUBSETS``, of a random share of them."""
+def lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
+    """(term, subset, h) of the terms in the band, by the frequencies in all documents."""
     n = docs.count()
     counts = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.where((F.col("df") >= F.greatest(F.lit(MIN_DOCS), F.lit(min_share * n))) & (F.col("df") <= F.lit(max_share * n)))
     h = F.xxhash64(F.lit(SEED), "term")
-    dealt = band.select("term", F.pmod(h, F.lit(dealt_to)).cast("int").alias("subset"), h.alias("h"))
-    return reliable(dealt.where(F.col("subset") < SUBSETS))
+    return reliable(band.select("term", F.pmod(h, F.lit(SUBSETS)).cast("int").alias("subset"), h.alias("h")))
 
 
 def ranges(docs: DataFrame, key: str, n: int) -> list[int]:
@@ -76,55 +73,63 @@ def with_successor(docs: DataFrame, per_task: int = 8) -> DataFrame:
     return rows.select("doc_id", "text", "_b", "_ghost", F.row_number().over(order).alias("_n"), F.lead("text").over(order).alias("_next"))
 
 
-def parts_of(found: str, slot: int) -> Column:
-    """The parts of one text from the sorted (slot, h) pairs of all: runs of equal slots, hashed."""
-    named = F.expr(f"map_from_entries(transform(_ends, (x, j) -> struct(x.s, xxhash64(slice(transform({found}, y -> y.h), coalesce(get(_ends, j - 1).e, 0) + 1, x.e - coalesce(get(_ends, j - 1).e, 0))))))")
-    part = lambda m, j: F.coalesce(F.lower(F.lpad(F.hex(F.try_element_at(m, j + slot).bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit(EMPTY))
-    return F.transform(F.array(named), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: part(m, j)))[0]
+def runs_of(found: str) -> Column:
+    """A text's parts from its sorted (subset, h) pairs: for each subset with a term, its number in the upper
+    and 32 bits of the hash of its terms in the lower half of a long. What each step reads again is bound once."""
+    ends = f"filter(transform({found}, (y, i) -> struct(y.subset AS s, i + 1 AS e)), x -> x.e = size({found}) OR get({found}, x.e).subset <> x.s)"
+    part = "shiftleft(cast(x.s AS bigint), 32) | (xxhash64(slice(z.hs, coalesce(get(z.ends, j - 1).e, 0) + 1, x.e - coalesce(get(z.ends, j - 1).e, 0))) & 4294967295)"
+    return F.expr(f"transform(array(struct({ends} AS ends, transform({found}, y -> y.h) AS hs)), z -> transform(z.ends, (x, j) -> {part}))[0]")
 
 
-def whole_hash(text: Column) -> Column:
-    """What the parts of a text without a term in the lexicon are made from."""
-    terms = F.sort_array(terms_of(text))
-    return F.when(F.size(terms) > 0, F.xxhash64(F.lit(SEED), terms)).otherwise(F.xxhash64(F.lit(SEED), text))
+def set_hash(terms: Column) -> Column:
+    """A hash of distinct terms, whatever their order; null without terms."""
+    return F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.xxhash64(F.lit(SEED), t))))
 
 
-def or_whole(parts: Column, whole: Column) -> Column:
-    part = lambda j: F.lower(F.lpad(F.hex(F.xxhash64(whole, j).bitwiseAND(0xFFFFFFFF)), 8, "0"))
-    return F.when(F.exists(parts, lambda x: x != EMPTY), parts).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part))
+def or_whole(runs: Column, whole: Column) -> Column:
+    """The parts, or where no term is in the lexicon those made from a hash of the whole."""
+    part = lambda j: F.shiftleft(j.cast("long"), 32).bitwiseOR(F.xxhash64(whole, j).bitwiseAND(0xFFFFFFFF))
+    return F.when(F.size(runs) > 0, runs).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda z: z))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) | (y != EMPTY)), lambda z: z))
-    return F.when(some > 0, same / some).otherwise(F.lit(1.0))
+def written(runs: str) -> Column:
+    """Eight hex digits per subset, ``EMPTY`` where it has no term."""
+    gap = f"repeat('{EMPTY}', cast(shiftright(x, 32) - coalesce(shiftright(get({runs}, j - 1), 32), -1) - 1 AS int))"
+    rest = f"repeat('{EMPTY}', cast({SUBSETS - 1} - shiftright(element_at({runs}, -1), 32) AS int))"
+    return F.expr(f"concat(array_join(transform({runs}, (x, j) -> concat({gap}, lower(lpad(hex(x & 4294967295), 8, '0')))), ''), {rest})")
+
+
+def likeness(a: str, b: str) -> Column:
+    """Of the subsets of which either text has a term, the share in which their parts are equal."""
+    subsets = lambda c: F.transform(c, lambda x: F.shiftright(x, 32))
+    either = F.size(a) + F.size(b) - F.size(F.array_intersect(subsets(a), subsets(b)))
+    return F.size(F.array_intersect(a, b)) / either
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """The id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = lexicon(docs, "text", dealt_to=SUBSETS) if words is None else words
+    words = lexicon(docs) if words is None else words
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
     rows = with_successor(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("_edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half)))
+    rows = rows.withColumns({"_t0": terms_of(F.col("text")), "_t1": terms_of(F.col("_edited"))})
     pair = lambda which: lambda t: F.struct(F.lit(which).alias("which"), t.alias("term"))
     mark = F.array(F.struct(F.lit(-1).alias("which"), F.lit("").alias("term")))  # keeps a document without terms
-    # Texts end here: what is exploded carries the hash and no text.
-    terms = F.concat(mark, F.transform(terms_of(F.col("text")), pair(0)), F.transform(terms_of(F.col("_edited")), pair(1)))
+    # Texts end here: what is exploded carries the hashes and no text.
+    terms = F.concat(mark, F.transform("_t0", pair(0)), F.transform("_t1", pair(1)))
+    whole = lambda t, text: F.coalesce(set_hash(F.col(t)), F.xxhash64(F.lit(SEED), text))
     carried = ["_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1"]
-    rows = rows.withColumns({"edited_sha256": F.sha2("_edited", 256), "_w0": whole_hash(F.col("text")), "_w1": whole_hash(F.col("_edited"))}).select(*carried, terms.alias("_terms"))
-    seen = rows.select(*carried, F.inline("_terms"))
-    hits = seen.join(words, "term", "left").where("which < 0 OR h IS NOT NULL")
-    pairs = F.collect_list(F.when(F.col("h").isNotNull(), F.struct((F.col("which") * SUBSETS + F.col("subset")).alias("s"), "h")))
-    whole = hits.groupBy("_b", "_n").agg(*[F.first(c).alias(c) for c in ("_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1")], F.sort_array(pairs).alias("_f"))
-    whole = whole.withColumn("_ends", F.expr("filter(transform(_f, (y, i) -> struct(y.s, i + 1 AS e)), x -> x.e = size(_f) OR get(_f, x.e).s <> x.s)"))
-    whole = whole.select("_b", "_n", "_ghost", "doc_id", "n_chars", "edited_sha256", "_w0", "_w1", parts_of("_f", 0).alias("_own"), parts_of("_f", SUBSETS).alias("_new"))
-    whole = whole.withColumns({"_own": or_whole(F.col("_own"), F.col("_w0")), "_new": or_whole(F.col("_new"), F.col("_w1"))})
-    whole = whole.withColumn("_other", F.lead("_own").over(Window.partitionBy("_b").orderBy("_n"))).where("NOT _ghost")
-    return whole.select(
-        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256",
-        F.array_join("_own", "").alias("fingerprint"), F.array_join("_new", "").alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.coalesce("_other", "_own")).alias("near_next"),
+    rows = rows.withColumns({"edited_sha256": F.sha2("_edited", 256), "_w0": whole("_t0", "text"), "_w1": whole("_t1", "_edited")}).select(*carried, terms.alias("_terms"))
+    hits = rows.select(*carried, F.inline("_terms")).join(words, "term", "left").where("which < 0 OR h IS NOT NULL")
+    pairs = lambda which: F.sort_array(F.collect_list(F.when((F.col("which") == which) & F.col("h").isNotNull(), F.struct("subset", "h"))))
+    found = hits.groupBy("_b", "_n").agg(*[F.first(c).alias(c) for c in carried[2:]], pairs(0).alias("_f0"), pairs(1).alias("_f1"))
+    found = found.withColumns({"_own": runs_of("_f0"), "_new": runs_of("_f1")})
+    found = found.withColumns({"_own": or_whole(F.col("_own"), F.col("_w0")), "_new": or_whole(F.col("_new"), F.col("_w1"))}).drop("_f0", "_f1", "_w0", "_w1")
+    found = found.withColumn("_other", F.lead("_own").over(Window.partitionBy("_b").orderBy("_n"))).where("NOT _ghost").withColumn("_other", F.coalesce("_other", "_own"))
+    return found.select(
+        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", written("_own").alias("fingerprint"), written("_new").alias("edited_fingerprint"),
+        likeness("_own", "_new").alias("near_edited"), likeness("_own", "_other").alias("near_next"),
     )
