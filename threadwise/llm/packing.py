@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadwise.llm.common import as_bytes, narrow_batches
-from threadwise.llm.tokens import WordEncoder
+from threadwise.llm.tokens import word_encoder
 from threadwise.session import reliable
 
 WINDOW = 4096
@@ -59,7 +59,7 @@ def _pack_partition(path: str, end_id: int, size: int, limit: int, schema: pa.Sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, windows = WordEncoder(path), OpenWindows(size, limit, TaskContext.get().partitionId() << 33)
+        encoder, windows = word_encoder(path), OpenWindows(size, limit, TaskContext.get().partitionId() << 33)
         late: dict[int, list[tuple]] = {}  # pieces of open windows
         for batch in narrow_batches(batches, "text"):
             ids, counts = encoder.encode(as_bytes(batch.column(1)))

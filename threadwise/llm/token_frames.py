@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from threadwise.llm.common import as_bytes, narrow_batches, partitions
 from threadwise.llm.files import new_file, read_random
-from threadwise.llm.tokens import WordEncoder
+from threadwise.llm.tokens import word_encoder
 from threadwise.session import reliable, shared_folder
 
 FRAME_BYTES = 256 << 10
@@ -136,7 +136,7 @@ def _write_partition(vocabulary: str, end_id: int, folder: str, file_bytes: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
         width = 2 if max(encoder.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
 
         def rows():

@@ -1,7 +1,8 @@
 """Ids of whole texts by the tokenizers library, for tokenizers that drop white space.
 
 The word_bpe vocabulary never joins anything across white space, so a text's ids are those of its words
-in order. Each distinct word is encoded once in a task and looked up afterwards. Words of printable
+in order. Each distinct word is encoded once in a Python worker, which keeps its table from task to task, and
+looked up afterwards. Words of printable
 ASCII and Latin-1 letters go to the library's BPE model piece by piece; any other word goes
 through the library's whole chain of normalizer, splitter and model.
 """
@@ -28,8 +29,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """``max_words`` and ``max_pieces`` bound the memory of a task; a full table is begun anew, which
-    changes no result."""
+    """``max_words`` and ``max_pieces`` bound the memory of a worker. A full table is begun anew with the words
+    met most often; tables change no result."""
 
     def __init__(self, path: str, max_words: int = 600_000, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,6 +47,20 @@ class WordEncoder:
         self.at: dict[bytes, int] = {}
         self.flat = np.empty(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # of word i: ends[i + 1]
+        self.met = np.zeros(0, dtype=np.int64)  # how often word i has been met
+
+    def _renew(self) -> None:
+        """Begin anew with at most half a table: the words met most often, and more than once."""
+        n, met, words, flat, ends = len(self.at), self.met, list(self.at), self.flat, self.ends
+        kept = np.argsort(-met, kind="stable")[: self.max_words // 2]
+        kept = kept[met[kept] > 1]
+        self._begin()
+        size = np.diff(ends[: n + 1])[kept]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        self.at = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.flat = np.resize(flat[np.repeat(ends[kept] - upto[:-1], size) + np.arange(upto[-1])], max(1 << 20, 2 * int(upto[-1])))
+        self.ends = np.concatenate([upto, np.zeros(1 << 18, dtype=np.int64)])
+        self.met = met[kept] // 2
 
     def _word(self, word: bytes) -> tuple[int, ...]:
         text = word.decode("utf-8", "replace")
@@ -73,7 +88,7 @@ class WordEncoder:
 
     def _some(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.at) > self.max_words:
-            self._begin()
+            self._renew()
         if len(self.pieces) > self.max_pieces:
             self.pieces = {}
         new = set(chain.from_iterable(words)).difference(self.at)
@@ -82,6 +97,9 @@ class WordEncoder:
         per_text = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         n = int(per_text.sum())
         at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=n)
+        met = np.bincount(at, minlength=len(self.at))
+        met[: len(self.met)] += self.met
+        self.met = met
         start = self.ends[at]
         size = self.ends[at + 1] - start
         upto = np.cumsum(size)
@@ -103,6 +121,17 @@ class WordEncoder:
         return np.concatenate(ids), counts
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder of this vocabulary, with the words it has met so far; one vocabulary at a time."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def parts(text: bytes, limit: int):
     """Cut a text behind white space into parts of about ``limit`` bytes; a longer word stays whole."""
     at = 0
