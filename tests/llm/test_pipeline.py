@@ -4,6 +4,7 @@ import corpus_pipeline as p
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_near_copies import classes as near_classes
 from threadwise.llm import quality_rules
 from threadwise.session import reliable
 
@@ -15,6 +16,7 @@ def corpus(rng):
     rows = [(i, prose(rng.randint(60, 200)), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(60)]
     rows += [(100 + i, rows[i][1], "en", "a", 0) for i in range(5)]  # exact copies
     rows += [(200 + i, prose(80) + "\n" + passage + "\n" + prose(40), "en", "b", 0) for i in range(6)]
+    rows += [(400 + i, f"{rows[i][1]} and one more", "en", "b", 0) for i in range(5)]  # edited copies
     rows += [(300, "too short", "en", "a", 0), (301, None, None, None, None)]
     return [(*r[:4], len(r[1] or "")) for r in rows], passage
 
@@ -28,9 +30,9 @@ def test_stages_against_plain_versions(spark):
     assert set(texts) == {r[0] for r in rows} - {300, 301}
 
     single = reliable(p.near_duplicates(spark, kept, ""))
-    roots = brute.classes({d: brute.simhash(t) for d, t in texts.items()})
+    roots = near_classes(texts)
     left = {r.doc_id: r.text for r in single.collect()}
-    assert set(left) == {d for d in texts if roots[d] == d} and not set(left) & set(range(100, 105))
+    assert set(left) == {d for d in texts if roots[d] == d} and not set(left) & {*range(100, 105), *range(400, 405)}
 
     cut = reliable(p.repeated_passages(spark, single, ""))
     want = brute.repeats(sorted(left.items()))
