@@ -188,3 +188,37 @@ def test_threshold_scores_fewer_pairs_and_loses_none(spark):
     assert some.count() < 0.6 * every.count()
     joined = ops.cosine_pairs(asked, docs, "q", "d", settings=replace(Settings(), broadcast_bytes=0))
     assert {(r.q, r.d, r.score) for r in joined.collect()} == {(r.q, r.d, r.score) for r in every.collect()}
+
+
+def clustered(rng, n, dim=12, centres=20):
+    near = rng.standard_normal((centres, dim))
+    return near[rng.integers(0, centres, n)] + 0.15 * rng.standard_normal((n, dim))
+
+
+def test_cells_are_exact_skip_and_find_most_with_few_probes(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.vstack([clustered(rng, 600), np.zeros((2, 12)), rng.standard_normal((40, 12))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>").repartition(4)
+    ask, docs = df.where("id % 7 = 0 OR id >= 595").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "pair_id")
+    settings = replace(Settings(), block_rows=6)
+    index = D.fit_cells(docs, "pair_id", cells=24, sample=300, settings=settings)
+    assert index.rows.count() == len(vectors) and index.parts.max() > 1
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    got = collect_hits(D.topk_cells(index, ask, 5, settings=settings))
+    want = {r.query_id: ranked((unit @ unit[r.query_id]).tolist(), list(range(len(unit))), 5) for r in ask.collect()}
+    assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
+    few = collect_hits(D.topk_cells(index, ask, 5, probes=4, settings=settings))
+    found = sum(len({d for d, _ in few[q]} & {d for d, _ in want[q]}) for q in want)
+    assert found >= 0.9 * 5 * len(want)
+
+    batch = ask.where("query_id < 595").toPandas().rename(columns={"embedding": "_v"})
+    visited = D._reaching(index)(batch.assign(_bound=[want[q][-1][1] for q in batch["query_id"]]))
+    assert sum(map(len, visited)) < 0.3 * len(batch) * (index.radius >= 0).sum()
+
+
+def test_cells_without_rows(spark):
+    none = spark.createDataFrame([], "pair_id long, embedding array<double>")
+    index = D.fit_cells(none, "pair_id")
+    ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert D.topk_cells(index, ask).count() == 0

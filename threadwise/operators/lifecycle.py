@@ -128,18 +128,18 @@ def _stretches(
     )
 
 
-def replay_states(
+def conversation_maps(
     events: DataFrame,
     key: str = "conv_id",
     order: Sequence[str] = ("ts", "seq"),
     chunk: Column | None = None,
     stretch_rows: int = STRETCH_ROWS,
 ) -> DataFrame:
-    """Final status per conversation, with the number of rejected moves and of reopenings.
+    """(key, n, map): the number of a conversation's events and what they make of each state.
 
     ``events`` carries ``code`` (see ``event_code``). The events are shuffled once, on (key, chunk);
     what is shuffled on the key alone is one map of five cells per chunk. Unless a chunk is given,
-    only conversations with very many events are cut, by the hour.
+    only conversations with very many events are cut, by rows.
     """
     events = events.select(key, *order, "code")
     if chunk is None:
@@ -153,16 +153,34 @@ def replay_states(
             F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(at, "map"))).alias("_maps")
         )
         maps = maps.select(*level, "n", _fold_maps(F.col("_maps")).alias("map"))
-    start = F.get("map", fixed.STATES.index(INITIAL))
-    return maps.select(
-        key,
-        F.get(_state_names(), start["s"].cast("int")).alias("status"),
-        F.col("n").alias("n_events"),
-        start["rejected"].alias("n_rejected"),
-        start["reopened"].alias("n_reopened"),
+    return maps
+
+
+def applied(map_: str, status: Column) -> Column:
+    """What a map makes of a state: (status, rejected, reopened); the state itself where there is no map."""
+    zero = F.lit(0).cast("long")
+    at = F.coalesce(F.array_position(_state_names(), status), F.lit(fixed.STATES.index(INITIAL) + 1)).cast("int") - 1
+    cell = F.get(map_, at)
+    return F.struct(
+        F.get(_state_names(), F.coalesce(cell["s"].cast("int"), at)).alias("status"),
+        F.coalesce(cell["rejected"], zero).alias("rejected"),
+        F.coalesce(cell["reopened"], zero).alias("reopened"),
     )
 
 
+def replay_states(
+    events: DataFrame,
+    key: str = "conv_id",
+    order: Sequence[str] = ("ts", "seq"),
+    chunk: Column | None = None,
+    stretch_rows: int = STRETCH_ROWS,
+) -> DataFrame:
+    """Final status per conversation, with the number of rejected moves and of reopenings."""
+    maps = conversation_maps(events, key, order, chunk, stretch_rows)
+    end = maps.select(key, "n", applied("map", F.lit(INITIAL)).alias("e"))
+    return end.select(key, "e.status", F.col("n").alias("n_events"), F.col("e.rejected").alias("n_rejected"), F.col("e.reopened").alias("n_reopened"))
+
+
 def _state_names() -> Column:
     return F.array(*[F.lit(s) for s in fixed.STATES])
 

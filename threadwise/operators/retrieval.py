@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadwise import fixed_values as fixed
 from threadwise.config import Settings
 from threadwise.functions import text as X
+from threadwise.operators.impact import top_postings
 from threadwise.session import reliable
 
 
@@ -131,6 +132,7 @@ def cosine_pairs(
     where adaptive execution splits frequent terms.
     """
     queries = reliable(queries)
+    corpus = reliable(corpus) if at_least > 0 else corpus  # read three times below
     ours = queries.select(
         query, F.col("term_id").alias("_t"), F.col("weight").alias("_qw"),
         *[F.col(c).alias(f"_same_{c}") for c in same],
@@ -186,12 +188,8 @@ def topk_lexical(
     Documents that share no term score 0. ``pad`` fills a query's list up to k with the first of
     them by id, so every query gets k hits, as a full ranking would give.
     """
-    scored = cosine_pairs(
-        transform_tfidf(model, queries, query, query_text),
-        transform_tfidf(model, corpus, doc, doc_text),
-        query,
-        doc,
-        settings=model.settings,
+    scored = top_postings(
+        transform_tfidf(model, queries, query, query_text), transform_tfidf(model, corpus, doc, doc_text), k, query, doc, settings=model.settings
     )
     hits = best_k(scored, query, doc, k)
     if pad:
@@ -248,15 +246,11 @@ def retrieve_verified(
     docs = memory.where(F.col("human_verified").eqNullSafe(F.lit(True))).withColumn(
         "_doc", F.concat_ws(" ", "original_query", "human_resolution")
     )
-    same = [intent] if intent else []
-    scored = cosine_pairs(
+    same = (intent,) if intent else ()
+    scored = top_postings(
         transform_tfidf(model, queries, query, query_text, same),
         transform_tfidf(model, docs, "resolution_id", "_doc", same),
-        query,
-        "resolution_id",
-        same,
-        model.settings,
-        model.settings.resolution_similarity,
+        k, query, "resolution_id", same, model.settings, model.settings.resolution_similarity,
     ).where(F.col("score") >= model.settings.resolution_similarity)
     hits = best_k(scored, query, "resolution_id", k)
     told = docs.select(
