@@ -32,7 +32,7 @@ class WordEncoder:
     """``max_words`` and ``max_pieces`` bound the memory of a worker. A full table is begun anew with the words
     met most often; tables change no result."""
 
-    def __init__(self, path: str, max_words: int = 600_000, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_words: int = 250_000, max_pieces: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
