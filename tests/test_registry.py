@@ -13,7 +13,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables"
 def test_names():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and set(QUERIES) <= set(queries)
-    assert set(QUERIES) - set(SQL) == {"e11_learned_classifier", "f4_topk_lsa", "f5_topk_hybrid", "i2_conflicts"}
+    assert set(QUERIES) - set(SQL) == {"e11_learned_classifier", "f4_topk_lsa", "f5_topk_hybrid", "i2_conflicts", "i2_conflicts_in_batch"}
 
 
 @needs_data

@@ -16,6 +16,9 @@ from threadwise.plans.registry import search as sq
 from threadwise.plans.registry.common import L, table
 from threadwise.session import reliable
 
+#: A first draft times out where the message's length is divisible by this.
+TIMEOUT_EVERY = 7
+
 
 def chain_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Classify, retrieve from both layers, draft, verify, escalate, each on what the one before gave."""
@@ -25,15 +28,23 @@ def chain_decisions(spark: SparkSession, sf: str) -> DataFrame:
     historical = retrieval.attach_texts(retrieval.topk_lexical(model, asked.select("query_id", "text"), corpus, 3, pad=True), corpus)
     verified = retrieval.retrieve_verified(model, asked, c.resolutions(spark, sf), 3)
     hits = reliable(retrieval.merge_layers(historical, verified, 3))
-    drafted = drafts.verify_drafts(drafts.draft_from_templates(asked, hits, L), hits, L)
+    written = drafts.verify_drafts(drafts.draft_from_templates(asked, hits, L), hits, L)
+    # The service that writes the first draft times out on some messages; the template then stands in.
+    late = (F.length("text") % TIMEOUT_EVERY == 0) & (F.col("attempt") == 0)
+    tries = written.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("error", F.when(late, "Timeout"))
+    tries = tries.select(
+        "query_id", "attempt", "draft", "cited_example_id", "error", F.col("ok").alias("verified"), (F.col("ok") & F.col("error").isNull()).alias("ok"),
+        F.when(F.col("attempt") == 0, "model").otherwise("rules-synth").alias("method"),
+    )
+    drafted = drafts.choose_draft(tries, error="error")
     top = hits.where(F.col("rank") == 1).select("query_id", F.col("score").alias("top_score"))
     conv = table(spark, sf, "conversations")
     rows = (
-        turns.join(drafted.select("query_id", "draft", "cited_example_id", F.col("ok").alias("verification_ok")), "query_id")
+        turns.join(drafted.select("query_id", "draft", "cited_example_id", F.col("verified").alias("verification_ok"), F.col("method").startswith("rules (llm_error").alias("generation_failed")), "query_id")
         .join(top, "query_id", "left")
         .join(with_depth(conv).select("conv_id", "turn", "depth"), ["conv_id", "turn"])
         .join(is_repeat(conv, L), ["conv_id", "turn"])
-        .withColumns({"explicit": F.lit(None).cast("string"), "thumbs_down_count": F.lit(0), "generation_failed": F.lit(False)})
+        .withColumns({"explicit": F.lit(None).cast("string"), "thumbs_down_count": F.lit(0)})
     )
     return routing.escalate(rows, L).select(
         "query_id", "classification.intent", "cited_example_id", "draft", "verification_ok", "top_score",
@@ -51,7 +62,11 @@ def human_loop(spark: SparkSession, sf: str) -> DataFrame:
     records = memory.build_resolutions(conv, closed).withColumn("human_verified", F.col("_trusted"))
     records = c.classify(records, "original_query").withColumns({"intent": F.col("classification.intent"), "seq": F.col("conv_id")})
     records = reliable(records.drop("classification", "safety", "_trusted"))
-    kept = memory.ingest_resolutions(records, records.limit(0)).where("status = 'added'")
+    # Earlier conversations are in the memory already when the rest is taken in.
+    ends = records.agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high")).first()
+    early = F.col("conv_id") <= F.lit(((ends.low or 0) + (ends.high or 0)) // 2)
+    stored = reliable(memory.ingest_resolutions(records.where(early), records.limit(0)).where("status = 'added'"))
+    kept = stored.unionByName(memory.ingest_resolutions(records.where(~early), stored).where("status = 'added'"))
     _, model = sq.space(spark, sf)
     hits = retrieval.retrieve_verified(model, sq.asked(spark, sf), kept, 3)
     return hits.select("query_id", "pair_id", "score", "rank", "memory_intent")
@@ -94,7 +109,8 @@ es AS (SELECT d.query_id, o.intent, o.confidence, chk.ids[1] AS cited_example_id
     CASE WHEN depth > 0 AND d.score >= 0.7 THEN 'high_dissatisfaction' END,
     CASE WHEN o.confidence < 0.55 THEN 'low_classifier_confidence' END,
     CASE WHEN top_score < 0.10 THEN 'low_retrieval_confidence' END,
-    CASE WHEN NOT ok THEN 'groundedness_failure' END], lambda x: x IS NOT NULL) AS signals
+    CASE WHEN NOT ok THEN 'groundedness_failure' END,
+    CASE WHEN len(d.text) % {TIMEOUT_EVERY} = 0 THEN 'llm_failure' END], lambda x: x IS NOT NULL) AS signals
   FROM dis d JOIN c_out o USING (query_id) JOIN dep USING (query_id) JOIN chk USING (query_id))"""
 
 _CLOSED = f"""

@@ -207,7 +207,7 @@ def k5_agreement(spark: SparkSession, sf: str) -> DataFrame:
 def k6_check_expectations(spark: SparkSession, sf: str) -> DataFrame:
     rows = c.classify(c.turns(spark, sf))
     checks = [
-        ("a trigger means the override label scores", "safety.is_safety", "classification.intent IS NOT NULL"),
+        ("a trigger means the override label scores", "safety.is_safety", "classification.confidence > 0.3"),
         ("that as a word is the override label", "text RLIKE '(?i)\\\\bthat\\\\b'", "classification.intent = 'delta'"),
         ("in the taxonomy", "true", "classification.intent IN ('alpha', 'beta', 'gamma', 'delta', 'other')"),
         ("the default is unsure", "classification.intent = 'other'", "classification.needs_context"),
@@ -363,7 +363,7 @@ SQL = {
       SELECT dimension, n, round(po, 6) AS agreement, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa,
         round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM e""",
     "k6_check_expectations": f"""WITH {TURNS}, {CLASSIFIED}, t AS (
-        SELECT 'a trigger means the override label scores' AS expectation, is_safety AS w, true AS ok_ FROM c_out
+        SELECT 'a trigger means the override label scores' AS expectation, is_safety AS w, s3 > 0 AND top > 0 AS ok_ FROM c_out JOIN (SELECT query_id, s3 FROM c_scores) USING (query_id)
         UNION ALL SELECT 'that as a word is the override label', regexp_matches(text, '(?i)\\bthat\\b'), intent = 'delta' FROM c_out
         UNION ALL SELECT 'in the taxonomy', true, true FROM c_out
         UNION ALL SELECT 'the default is unsure', intent = 'other', confidence < 0.55 FROM c_out)

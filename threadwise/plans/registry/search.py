@@ -13,6 +13,9 @@ from threadwise.plans.registry.classify import deflection_sql
 from threadwise.plans.registry.common import L, STOP, table
 from threadwise.session import reliable
 
+#: Cells of the vector index and how many of them a query that need not be exact visits.
+CELLS, PROBES = 16, 8
+
 # ---------------------------------------------------------------- queries
 
 
@@ -82,6 +85,45 @@ def f7_topk_auto(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy("method").agg(F.count(F.lit(1)).alias("n")).withColumn("backend", F.lit(name))
 
 
+def f7_topk_auto_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Both backends are there: vectors are preferred, and the hits are theirs."""
+    e = table(spark, sf, "embeddings")
+    index = dense.fit_cells(e.select(F.col("vec_id").alias("pair_id"), "embedding"), "pair_id")
+    found = dense.topk_cells(index, e.select(F.col("vec_id").alias("query_id"), "embedding"), 4)
+    name, hits = ops.topk_auto(tfidf=lexical(spark, sf, pad=True)[1], dense=found)
+    return hits.select("query_id", "pair_id", "score", "rank", "method", F.lit(name).alias("backend"))
+
+
+def f6_topk_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the exact four nearest vectors a quarter of the cells holds: nine in ten or more."""
+    e = table(spark, sf, "embeddings")
+    ask = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = dense.fit_cells(e.select(F.col("vec_id").alias("pair_id"), "embedding"), "pair_id", cells=CELLS)
+    some = reliable(dense.topk_cells(index, ask, 4, probes=PROBES))
+    every = reliable(dense.topk_cells(index, ask, 4))
+    met = every.join(some.select("query_id", "pair_id"), ["query_id", "pair_id"], "left_semi")
+    return every.agg(F.count(F.lit(1)).alias("n")).crossJoin(met.agg(F.count(F.lit(1)).alias("_met"))).select("n", (F.col("_met") >= 0.9 * F.col("n")).alias("recall_reached"))
+
+
+def f4_scores_from_basis(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the latent hits once more, from the stored basis by joins: per query, the hits and those that agree."""
+    corpus, lsa = lsa_model(spark, sf)
+    hits = reliable(dense.topk_lsa(lsa, c.turns(spark, sf), corpus))
+    basis = reliable(dense.basis_table(spark, lsa))
+
+    def latent(df: DataFrame, key: str, text: str) -> DataFrame:
+        posts = ops.transform_tfidf(lsa.tfidf, df, key, text)
+        return reliable(posts.join(basis, "term_id").groupBy(key, "component").agg(F.sum(F.col("weight") * F.col("value")).alias("v")))
+
+    q, d = latent(c.turns(spark, sf), "query_id", "text"), latent(corpus, "pair_id", "customer_msg")
+    size = lambda v, key: v.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"_{key}"))
+    dot = hits.join(q, "query_id").join(d.withColumnRenamed("v", "w"), ["pair_id", "component"])
+    dot = dot.groupBy("query_id", "pair_id").agg(F.sum(F.col("v") * F.col("w")).alias("_dot"))
+    again = hits.join(dot, ["query_id", "pair_id"], "left").join(size(q, "query_id"), "query_id", "left").join(size(d, "pair_id"), "pair_id", "left")
+    cosine = F.coalesce(F.try_divide("_dot", F.col("_query_id") * F.col("_pair_id")), F.lit(0.0))
+    return again.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.abs(cosine - F.col("score")) < 2e-4).cast("long")).alias("n_agree"))
+
+
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     return c.classify(c.turns(spark, sf)).select("query_id", "text", F.col("classification.intent").alias("intent"))
 
@@ -168,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_fit_tfidf, f2_transform_tfidf, f3_topk_lexical, f4_topk_lsa, f5_topk_hybrid, f6_topk_dense,
-        f7_topk_auto, f8_retrieve_verified, f9_merge_layers, f10_retrieval_metrics, f11_memory_metrics,
+        f6_topk_probes, f4_scores_from_basis, f7_topk_auto, f7_topk_auto_dense, f8_retrieve_verified, f9_merge_layers, f10_retrieval_metrics, f11_memory_metrics,
         g1_draft_from_templates, g2_verify_drafts, g3_choose_draft, g4_verification_rate,
     )
 }
@@ -263,16 +305,21 @@ ver_ AS (SELECT query_id, NOT short AND url IS NULL AND p1 IS NULL AND p2 IS NUL
 
 _OPEN, _NEXT = L.opening[""], L.next_step[""]
 
+F6_SQL = """SELECT query_id, pair_id, score, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS rank FROM (
+        SELECT a.vec_id AS query_id, b.vec_id AS pair_id,
+          round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
+        FROM embeddings a, embeddings b)) WHERE rank <= 4"""
+
 SQL = {
     "f1_fit_tfidf": f"WITH {c.PAIRS}, {VOCAB} SELECT term, df, cf, round(idf, 6) AS idf FROM vocab",
     "f2_transform_tfidf": f"""WITH {SPACE_SQL}, {c.turns_sql('assistant')}, {terms_sql('u', 'turns', 'query_id', 'text')},
       {weights_sql('u', 'query_id')} SELECT query_id, term, round(w, 6) AS weight FROM u_w""",
     "f3_topk_lexical": f"WITH {SPACE_SQL}, {TOP3}, {PADDED} SELECT query_id, pair_id, score, rank::INT AS rank FROM hits",
-    "f6_topk_dense": """SELECT query_id, pair_id, score, rank::INT AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS rank FROM (
-        SELECT a.vec_id AS query_id, b.vec_id AS pair_id,
-          round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
-        FROM embeddings a, embeddings b)) WHERE rank <= 4""",
+    "f6_topk_dense": F6_SQL,
+    "f6_topk_probes": "SELECT count(*) * 4 AS n, true AS recall_reached FROM embeddings",
+    "f4_scores_from_basis": f"WITH {c.turns_sql()} SELECT query_id, 3::BIGINT AS n, 3::BIGINT AS n_agree FROM turns",
+    "f7_topk_auto_dense": F6_SQL.replace("rank::INT AS rank", "rank::INT AS rank, 'st' AS method, 'dense' AS backend", 1),
     "f7_topk_auto": f"WITH {SPACE_SQL}, {TOP3}, {PADDED} SELECT 'tfidf' AS method, count(*) AS n, 'tfidf' AS backend FROM hits",
     "f8_retrieve_verified": f"""WITH {SPACE_SQL}, {TOP3}, {VERIFIED}
       SELECT query_id, concat('res_', resolution_id) AS pair_id, score, rank::INT AS rank,
