@@ -1,3 +1,5 @@
+import csv
+import random
 import datetime as dt
 
 import pytest
@@ -144,3 +146,38 @@ def test_log_absent_blank_and_append(spark, tmp_path):
     io.append_log(spark.range(2).withColumnRenamed("id", "a"), path)
     (tmp_path / "log" / "part-x.json").write_text('\n{"a": 7}\n\n')
     assert sorted(r.a for r in io.read_log(spark, path, "a long").collect()) == [0, 1, 7]
+
+
+def test_quoted_csv_is_read_by_several_tasks_as_by_one(spark, tmp_path):
+    rng = random.Random(3)
+    bits = ["plain", "a, b", 'say "hi"', "two\nlines", "\n\n", "", '"', "three\nmore\nlines, really", "x" * 60]
+    want = []
+    for n in range(3):
+        with open(tmp_path / f"{n}.csv", "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["author_id", "text", "tweet_id"])
+            for i in range(80):
+                row = (f"u{i}", rng.choice(bits) + rng.choice(bits) + ".", 100 * n + i)
+                want.append((row[2], row[0], row[1]))
+                w.writerow(row)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 9
+        got = io.read_quoted_csv(spark, str(tmp_path), "tweet_id BIGINT, author_id STRING, text STRING").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_parent_with_a_third_of_the_replies_is_dealt_over_parts(spark):
+    rows = [(i, "c", True, i, f"question {i}", None) for i in range(20)]
+    rows += [(100 + i, "b", False, 100 + i, f"answer {i}", 3 if i % 3 == 0 else i % 20) for i in range(300)]
+    kind = "tweet_id long, author_id string, inbound boolean, created_at long, text string, in_response_to_tweet_id long"
+    msgs = spark.createDataFrame(rows, kind)
+    whole, cut = T.reply_parent_join(msgs, "b"), T.reply_parent_join(msgs, "b", hot_replies=10)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect())) and whole.count() == 300
+    replies = msgs.where("author_id = 'b'").select(F.col("in_response_to_tweet_id").alias("k"), F.col("tweet_id").alias("u"))
+    dealt, copied = T._dealt(replies, replies.select("k").distinct(), "k", "u", 10)
+    assert dealt.groupBy("k", "_part").count().agg(F.max("count")).first()[0] < 30
+    assert copied.groupBy("k", "_part").count().agg(F.max("count")).first()[0] == 1

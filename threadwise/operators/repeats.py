@@ -9,6 +9,7 @@ from threadwise.config import Settings
 from threadwise.functions import text as X
 from threadwise.lexicon import Lexicon
 from threadwise.operators.ordered import int_chunk
+from threadwise.session import reliable
 
 NEAR_ROWS = 64
 
@@ -72,41 +73,32 @@ def is_repeat(
 def _restated(msgs: DataFrame, key: str, order: str, settings: Settings) -> DataFrame:
     """First messages of each token set as (key, order, _far): like an earlier set or not.
 
-    Prefix filter: sort a set's tokens by one fixed order (long, hence mostly rare, words first). Two
-    sets that share enough must share a token within their prefixes, so only such pairs are tested.
+    Prefix filter: sort a set's tokens by how many sets of the thread hold them, rarest first. Two sets that
+    share enough must share a token within their prefixes, so only such pairs are tested. What is
+    shuffled to find them is ids; the sets are joined to the pairs that are left.
     """
     sets = msgs.groupBy(key, F.array_sort("tok").alias("tok"), F.array_sort("con").alias("con")).agg(
         F.min(order).alias(order)
     )
-
-    def prefix(column: str, keep: Column) -> Column:
-        ranked = F.array_sort(
-            F.transform(column, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-        )
-        tokens = F.transform(ranked, lambda r: r["t"])
-        return F.when(keep > 0, F.slice(tokens, 1, F.greatest(keep, F.lit(0)))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    size = F.size("tok")
-    by_jaccard = size - F.ceil(size * F.lit(settings.repeat_jaccard)).cast("int") + 1
-    by_words = F.size("con") - settings.repeat_shared_words + 1
-    tagged = F.concat(
-        F.transform(
-            prefix("tok", F.when(size > 0, by_jaccard).otherwise(0)),
-            lambda t: F.concat(F.lit("j "), t),
-        ),
-        F.transform(prefix("con", by_words), lambda t: F.concat(F.lit("c "), t)),
-    )
-    posts = sets.select(key, order, F.struct("tok", "con").alias("me"), F.explode_outer(tagged).alias("_sig"))
-    posts = posts.where("_sig IS NOT NULL")
-    earlier = posts.select(
-        key, "_sig", F.col(order).alias("_earlier"), F.col("me").alias("_them")
-    )
-    met = posts.join(earlier, [key, "_sig"]).where(
-        (F.col("_earlier") < F.col(order)) & similar(F.col("me"), F.col("_them"), settings)
-    )
-    hits = met.select(key, order).distinct().withColumn("_far", F.lit(True))
-    return sets.select(key, order).join(hits, [key, order], "left").select(
+    sets = reliable(sets)
+    size = {"tok": F.size("tok"), "con": F.size("con")}
+    keep = {
+        "tok": size["tok"] - F.ceil(size["tok"] * F.lit(settings.repeat_jaccard)).cast("int") + 1,
+        "con": size["con"] - settings.repeat_shared_words + 1,
+    }
+    word = lambda c: F.transform(c, lambda t: F.struct(F.lit(c).alias("kind"), t.alias("t"), keep[c].alias("keep")))
+    words = sets.select(key, order, F.inline(F.concat(word("tok"), word("con")))).where("keep > 0")
+    spread = words.groupBy(key, "kind", "t").agg(F.count(F.lit(1)).alias("met"))
+    # a set's words are all that one window group holds
+    rare = Window.partitionBy(key, order, "kind").orderBy("met", "t")
+    posts = words.join(spread, [key, "kind", "t"]).withColumn("_at", F.row_number().over(rare))
+    # a word of one set only meets nothing
+    posts = posts.where((F.col("_at") <= F.col("keep")) & (F.col("met") > 1)).select(key, "kind", "t", F.col(order).alias("_later"))
+    earlier = posts.withColumnRenamed("_later", "_earlier")
+    pairs = posts.join(earlier, [key, "kind", "t"]).where("_earlier < _later").select(key, "_later", "_earlier").distinct()
+    side = lambda at, out: sets.select(key, F.col(order).alias(at), F.struct("tok", "con").alias(out))
+    met = pairs.join(side("_later", "_me"), [key, "_later"]).join(side("_earlier", "_them"), [key, "_earlier"])
+    hits = met.where(similar(F.col("_me"), F.col("_them"), settings)).select(key, F.col("_later").alias(order)).distinct()
+    return sets.select(key, order).join(hits.withColumn("_far", F.lit(True)), [key, order], "left").select(
         key, order, F.coalesce("_far", F.lit(False)).alias("_far")
     )

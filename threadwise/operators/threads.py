@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadwise.functions.text import squish, text_or_empty
-from threadwise.operators.ordered import int_chunk, with_neighbour, with_running, with_tail
+from threadwise.operators.ordered import CUT_ROWS, int_chunk, with_neighbour, with_running, with_tail
+from threadwise.session import reliable
 
 
 def outbound(msgs: DataFrame, brand: str) -> DataFrame:
@@ -28,8 +29,28 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 
 
 
+#: A parent with more replies than this is copied, one copy to so many replies.
+HOT_REPLIES = 100_000
+
+
+def _dealt(replies: DataFrame, parents: DataFrame, key: str, unique: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part``, by which they join too: replies of hot parents are dealt over parts of about
+    ``rows`` rows, and a parent is copied to each of its parts. Counts of replies are pre-aggregated; there is one
+    row per hot parent, and without any nothing is joined."""
+    counts = replies.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = reliable(counts.where(F.col("_n") > rows).select(key, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
+    n = hot.count()
+    if not n:
+        return replies.withColumn("_part", F.lit(0)), parents.withColumn("_part", F.lit(0))
+    hot = F.broadcast(hot) if n <= CUT_ROWS else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = replies.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(unique), parts).cast("int")).drop("_parts")
+    copied = parents.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, copied
+
+
 def reply_parent_join(
-    msgs: DataFrame, brand: str, order: Sequence[str] = ("created_at", "text")
+    msgs: DataFrame, brand: str, order: Sequence[str] = ("created_at", "text"), hot_replies: int = HOT_REPLIES
 ) -> DataFrame:
     """Every reply of the brand with the message it answers.
 
@@ -48,7 +69,8 @@ def reply_parent_join(
         F.col("text").alias("parent_text"),
         F.col("created_at"),
     )
-    return replies.join(parents, "customer_tweet_id")
+    replies, parents = _dealt(replies, parents, "customer_tweet_id", "reply_tweet_id", hot_replies)
+    return replies.join(parents, ["customer_tweet_id", "_part"]).drop("_part")
 
 
 def filter_pairs(joined: DataFrame, min_len: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ from threadwise.plans.registry.common import L, STOP, table
 from threadwise.session import reliable
 
 #: Cells of the vector index and how many of them a query that need not be exact visits.
-CELLS, PROBES = 16, 8
+CELLS, PROBES = 16, 11
 
 # ---------------------------------------------------------------- queries
 
@@ -95,7 +95,7 @@ def f7_topk_auto_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f6_topk_probes(spark: SparkSession, sf: str) -> DataFrame:
-    """How many of the exact four nearest vectors a quarter of the cells holds: nine in ten or more."""
+    """Whether the nearest ``PROBES`` cells hold nine in ten of the exact four nearest vectors, or more."""
     e = table(spark, sf, "embeddings")
     ask = e.select(F.col("vec_id").alias("query_id"), "embedding")
     index = dense.fit_cells(e.select(F.col("vec_id").alias("pair_id"), "embedding"), "pair_id", cells=CELLS)

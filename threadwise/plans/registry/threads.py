@@ -18,7 +18,10 @@ from threadwise.sources import tables as io
 def a1_read_messages(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "messages")
     io.write_dataset(c.messages(spark, sf), path, "parquet")
-    log = io.read_messages(spark, path, "parquet")
+    return _counted(io.read_messages(spark, path, "parquet"))
+
+
+def _counted(log: DataFrame) -> DataFrame:
     return log.groupBy("inbound").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("in_response_to_tweet_id").alias("n_replies"),
@@ -26,6 +29,15 @@ def a1_read_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def a1_read_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as quoted CSV whose texts hold line breaks and quotes."""
+    path = shared_folder(spark, "csv")
+    rows = c.messages(spark, sf).withColumn("text", F.concat(F.lit('"'), F.regexp_replace("text", "\\. ", ".\n"), F.lit('"')))
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select("text", "tweet_id", "author_id", "inbound", "created_at", "in_response_to_tweet_id").write.options(header=True, quoteAll=True, escape='"', **plain).csv(path)
+    return _counted(io.read_messages(spark, path).withColumn("text", F.regexp_replace("text", "(?m)^\"|\"$", "")))
+
+
 def a2_read_log(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "log")
     log = c.feedback(spark, sf).select(
@@ -206,7 +218,7 @@ firsts AS (SELECT * FROM (
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_read_messages, a2_read_log, a3_read_conversations, a4_write_dataset, a5_append_log,
+        a1_read_messages, a1_read_csv, a2_read_log, a3_read_conversations, a4_write_dataset, a5_append_log,
         a6_write_metrics, a7_upsert_latest, b1_outbound, b2_reply_parent_join, b3_filter_pairs,
         b4_first_reply, b5_pair_id, b6_pair_turns, b7_history, b7_last_messages, b8_depth, b9_volume_by_author,
         b10_mentions, j3_drop_consecutive_dups, j6_conversation_summary, j7_invalid_roles,
@@ -217,6 +229,9 @@ SQL = {
     "a1_read_messages": f"""WITH {c.MESSAGES}
       SELECT inbound, count(*) AS n, count(in_response_to_tweet_id) AS n_replies,
         sum(len(text))::BIGINT AS n_chars FROM msgs GROUP BY inbound""",
+    "a1_read_csv": f"""WITH {c.MESSAGES}
+      SELECT inbound, count(*) AS n, count(in_response_to_tweet_id) AS n_replies,
+        sum(len(regexp_replace(text, '\\. ', '.' || chr(10), 'g')))::BIGINT AS n_chars FROM msgs GROUP BY inbound""",
     "a2_read_log": f"""WITH {c.FEEDBACK}
       SELECT conversation_id::VARCHAR AS conversation_id, feedback, count(*) AS n FROM fb GROUP BY 1, 2""",
     "a3_read_conversations": """
