@@ -22,8 +22,12 @@ BYTE_BPE = "byte_bpe_50k.json"
 # ---------------------------------------------------------------- 1 quality rules
 
 
+#: Texts of so many words are judged by their words, however few of them are common.
+JUDGED_WORDS = 100
+
+
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "lang", "text"), judged_words=JUDGED_WORDS)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
@@ -63,8 +67,8 @@ f AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_rep, n_words < {limits.min_wo
         n_chars, char_distance, n_common, word_distance FROM m LEFT JOIN cov USING (rid) LEFT JOIN cm USING (rid) LEFT JOIN wm USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(n_chars >= {limits.min_chars} AND char_distance > {limits.max_char_distance}, false)
-    AND NOT coalesce(n_common >= {limits.min_common} AND word_distance > {limits.max_word_distance}, false) AS kept,
-  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+    AND NOT coalesce((coalesce(n_common >= {limits.min_common}, false) OR n_words >= {JUDGED_WORDS}) AND coalesce(word_distance, 1) > {limits.max_word_distance}, false) AS kept,
+  round(char_distance, 6) AS char_distance, round(coalesce(word_distance, 1), 6) AS word_distance
 FROM f"""
 
 
@@ -112,7 +116,7 @@ def op6_token_frames(spark: SparkSession, sf: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     narrow = docs.withColumn("size", mixing.count_words(F.col("text"))).drop("text")
-    return mixing.mix(narrow, text_col="").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(narrow, text_col="").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP7_SQL = f"""
@@ -128,13 +132,30 @@ r AS (SELECT *, 2 * source_size AS cap,
 t AS (SELECT source, source_size, cap,
         CASE WHEN cap > level * w THEN max(CASE WHEN cap > level * w THEN level END) OVER () * w ELSE cap::DOUBLE END AS target FROM r),
 g AS (SELECT *, least(round(target)::BIGINT, cap) AS goal FROM t),
-p AS (SELECT d.*, g.source_size, g.target, g.goal,
+p AS (SELECT row_number() OVER () AS rid, d.*, g.source_size, g.target, g.goal,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+-- golden-ratio points through the cumulative goals; the r-th slot of a source takes its r-th block
+c AS (SELECT source, ceil(goal / {mixing.BLOCK}::DOUBLE)::BIGINT AS need,
+        floor(sum(goal) OVER (ORDER BY source NULLS LAST) * {mixing.CIRCLE}.0::DOUBLE / greatest(1, sum(goal) OVER ()))::BIGINT AS hi FROM g),
+k AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM c),
+u AS (SELECT slot, ((slot % {mixing.CIRCLE}) * {mixing.STEP}) % {mixing.CIRCLE} AS u
+      FROM (SELECT unnest(range((SELECT sum(need)::BIGINT FROM k))) AS slot)),
+drawn AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+          FROM u JOIN k ON u.u >= k.lo AND u.u < k.hi AND need > 0),
+had AS (SELECT source, count(*) AS had FROM drawn GROUP BY source),
+slots AS (SELECT source, rank, slot FROM drawn
+          UNION ALL SELECT source, rank, (SELECT sum(need)::BIGINT FROM k) + rank FROM (
+            SELECT k.source, unnest(range(coalesce(had, 0), need)) AS rank FROM k LEFT JOIN had ON k.source IS NOT DISTINCT FROM had.source)),
+rounds AS (SELECT rid, source, e * source_size + pos AS a, least(e * source_size + pos + size, goal) AS z
+           FROM p, (SELECT unnest(range({mixing.EPOCHS})) AS e) WHERE size > 0),
+pieces AS (SELECT rid, source, unnest(range(a // {mixing.BLOCK}, (z - 1) // {mixing.BLOCK} + 1)) AS rank FROM rounds WHERE a < z),
+first AS (SELECT rid, min(slot) AS first_slot FROM pieces JOIN slots
+          ON pieces.source IS NOT DISTINCT FROM slots.source AND pieces.rank = slots.rank GROUP BY rid)
+SELECT doc_id, size, source_size, target, first_slot,
   (greatest(0, least(pos + size, goal) - pos) + greatest(0, least(source_size + pos + size, goal) - source_size - pos))::BIGINT AS taken
-FROM p"""
+FROM p LEFT JOIN first USING (rid)"""
 
 
 # ---------------------------------------------------------------- 8 token counts
