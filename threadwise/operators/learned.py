@@ -69,3 +69,22 @@ def predict_text(model: PipelineModel, df: DataFrame, text: str, stop: Sequence[
     """Add ``prediction``."""
     made = ["_terms", "_tf", "_tfidf", "features", "rawPrediction", "probability", "_yhat"]
     return model.transform(_with_terms(df, text, stop)).drop(*made)
+
+
+def predict_from_coefficients(model: PipelineModel, df: DataFrame, key: str, text: str, stop: Sequence[str] = ()) -> DataFrame:
+    """(key, prediction) by joins with a table of the model's coefficients, of max_features x labels numbers at most:
+    counts times idf per term, unit length, one linear score per label, the greatest wins."""
+    counts, scale, _, fitted, name = model.stages
+    spark, labels = df.sparkSession, name.getLabels()
+    by_term = fitted.coefficientMatrix.toArray().T
+    idf = scale.getScalingVec().toArray()
+    table = spark.createDataFrame(
+        [(t, float(w), row.tolist()) for t, w, row in zip(counts.vocabulary, idf, by_term)], "term string, idf double, weights array<double>"
+    )
+    terms = _with_terms(df, text, stop).select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = terms.join(F.broadcast(table), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = [F.sum(F.col("w") * F.col("weights")[k]).alias(f"s{k}") for k in range(len(labels))]
+    scored = df.select(key).join(rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), *sums), key, "left")
+    score = lambda k: F.coalesce(F.col(f"s{k}") / F.col("size"), F.lit(0.0)) + F.lit(float(fitted.interceptVector[k]))
+    best = F.array_max(F.array(*[F.struct(score(k).alias("score"), F.lit(-k).alias("at"), F.lit(label).alias("label")) for k, label in enumerate(labels)]))
+    return scored.select(key, best["label"].alias("prediction"))

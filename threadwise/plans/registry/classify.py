@@ -10,6 +10,7 @@ from threadwise.operators import learned, metrics, responses
 from threadwise.operators.repeats import is_repeat
 from threadwise.plans.registry import common as c
 from threadwise.plans.registry.common import L, STOP, table
+from threadwise.session import reliable
 
 
 def e1_lexicon_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,9 +66,21 @@ def e10_majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return ops.majority_baseline(docs, docs.select("doc_id", "lang"), "lang")
 
 
+def _learned(spark: SparkSession, sf: str):
+    train = reliable(c.classify(c.turns(spark, sf)).select("query_id", "text", F.col("classification.intent").alias("label")))
+    return train, learned.train_text_classifier(train, "text", "label", L.taxonomy, STOP)
+
+
+def e11_scores_from_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions once more, from the stored coefficients by joins: rows and those that agree."""
+    train, model = _learned(spark, sf)
+    again = learned.predict_from_coefficients(model, train, "query_id", "text", STOP).withColumnRenamed("prediction", "again")
+    both = learned.predict_text(model, train, "text", STOP).join(again, "query_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("again")).cast("long")).alias("n_agree"))
+
+
 def e11_learned_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    train = c.classify(c.turns(spark, sf)).select("query_id", "text", F.col("classification.intent").alias("label"))
-    model = learned.train_text_classifier(train, "text", "label", L.taxonomy, STOP)
+    train, model = _learned(spark, sf)
     return learned.predict_text(model, train, "text", STOP).select("query_id", "label", "prediction")
 
 
@@ -225,7 +238,7 @@ QUERIES = {
     for f in (
         e1_lexicon_scores, e2_classify_rules, e3_context_override, e4_needs_context, e5_detect_context,
         e6_compare_detectors, e7_frustration, e8_is_deflection, e9_deflection_rate,
-        e10_majority_baseline, e11_learned_classifier, e12_apply_responses, e12_safety_responses, e15_dissatisfaction_responses, e13_reaction_flags,
+        e10_majority_baseline, e11_learned_classifier, e11_scores_from_coefficients, e12_apply_responses, e12_safety_responses, e15_dissatisfaction_responses, e13_reaction_flags,
         e14_is_repeat, e15_dissatisfaction, k1_classification_metrics, k2_confusion,
         k3_metrics_by_subset, k4_lift, k5_agreement, k6_check_expectations, k7_compare_models,
     )
@@ -362,6 +375,7 @@ SQL = {
     "k5_agreement": f"""WITH {PREDICTIONS}, {_K5}
       SELECT dimension, n, round(po, 6) AS agreement, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa,
         round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM e""",
+    "e11_scores_from_coefficients": f"WITH {TURNS} SELECT count(*) AS n, count(*) AS n_agree FROM turns",
     "k6_check_expectations": f"""WITH {TURNS}, {CLASSIFIED}, t AS (
         SELECT 'a trigger means the override label scores' AS expectation, is_safety AS w, s3 > 0 AND top > 0 AS ok_ FROM c_out JOIN (SELECT query_id, s3 FROM c_scores) USING (query_id)
         UNION ALL SELECT 'that as a word is the override label', regexp_matches(text, '(?i)\\bthat\\b'), intent = 'delta' FROM c_out
