@@ -34,7 +34,9 @@ def test_round_trip(spark):
         want.append((p, len(data), arc.base32_sha1(data), "revisit" if revisit else "response", least if revisit else None))
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    names = {(r.page_id, r.payload_digest): r.record_id for r in got if r.record_type == "response"}
     for r in got:
+        assert r.refers_to_id == (names[r.refers_to, r.payload_digest] if r.refers_to is not None and r.refers_to != 2 else r.refers_to_id)
         assert r.record_id.startswith("<urn:uuid:") and r.date == "2024-01-01T00:00:00Z"
         if r.record_type == "response":
             assert arc.base32_sha1(r.payload) == r.payload_digest and len(r.payload) == r.payload_bytes
@@ -71,3 +73,14 @@ def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "http://a/", "x", "path", 3)], PAGES + ", path string, digest int")
     (r,) = arc.read_records(spark, arc.convert(arc.write_arc(df))).collect()
     assert (r.page_id, r.payload_bytes, r.record_type) == (1, 1, "response")
+
+
+def test_info_record_and_what_a_revisit_names(spark):
+    pages = spark.createDataFrame([(1, "http://a/one", "same"), (2, "http://a/two", "same")], PAGES).coalesce(1)
+    (path,) = [r.path for r in arc.convert(arc.write_arc(pages)).collect()]
+    with arc.open_members(path) as stream:
+        (info, about), (first, _), (again, block) = list(arc.read_warc(stream))
+    assert info["WARC-Type"] == "warcinfo" and b"arc-version-block: 1 0 " in about and b"converted-from: pages-" in about
+    assert first["WARC-Type"] == "response" and again["WARC-Type"] == "revisit" and block.endswith(b"\r\n\r\n")
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "http://a/one"
+    assert again["WARC-Refers-To-Date"] == first["WARC-Date"]

@@ -3,10 +3,11 @@
 An ARC file begins with a version block (``filedesc://``) whose second line names the version; version 1
 has five fields in a record's header line, version 2 ten. The last field is the length of what follows. The
 converter reads header line and declared length, never a delimiter, and makes the WARC record that
-says the same: identifier (a UUID from the record's content), timestamp, type and digests. Records with
-equal payloads become revisits of the one with the smallest id.
+says the same: identifier (a UUID from the record's content), timestamp, type and digests. A file's version block
+becomes its ``warcinfo`` record. Records with equal payloads become revisits of the one with the smallest id, whose
+identifier, URI and date they name.
 
-Payloads never cross the network between the steps: only (file, position, digest, id) is shuffled to find
+Payloads never cross the network between the steps: only (file, position, digest, ids, URL) is shuffled to find
 equal payloads, and the revisits of a file go back to the task that converts it.
 
 Defined cases: a null URL is ``-``; characters that a header line cannot hold are percent-encoded; a null or
@@ -48,8 +49,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = pa.schema([("path", pa.string()), ("n_records", pa.int64())])
-KEYS = pa.schema([("path", pa.string()), ("position", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64())])
-RECORDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("date", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+KEYS = pa.schema([("path", pa.string()), ("position", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string())])
+RECORDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("date", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -126,8 +127,9 @@ def http_block(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-def read_arc(stream) -> Iterator[dict]:
-    """Records of an ARC file: the fields of the header line by name, and ``block``."""
+def read_arc(stream, versions: list[tuple[str, bytes]] | None = None) -> Iterator[dict]:
+    """Records of an ARC file: the fields of the header line by name, and ``block``. ``versions`` takes the name and
+    the text of each version block that has been passed."""
     version = fields = None
     while line := stream.readline():
         if not line.strip():
@@ -142,6 +144,8 @@ def read_arc(stream) -> Iterator[dict]:
             version, fields = first.split(" ")[0], names.split(" ")
             if ARC_FIELDS.get(version) != names:
                 raise ValueError(f"unknown ARC version {first!r}")
+            if versions is not None:
+                versions.append((values[0].removeprefix("filedesc://"), block))
             continue
         if fields is None or len(values) != len(fields):
             raise ValueError("an ARC header line does not have its version's fields")
@@ -191,18 +195,37 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(arc: dict, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record; a revisit holds the HTTP headers and no payload."""
+def _when(date: str) -> str:
+    return f"{datetime.strptime(date, '%Y%m%d%H%M%S').replace(tzinfo=timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+
+
+def record_id(*parts: str) -> str:
+    """A UUID of what a record is made from, so that it can be named before it is written."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1('\n'.join(parts).encode()).digest()[:16], version=5)}>"
+
+
+def warc_info(name: str, block: bytes) -> bytes:
+    """The record that stands for an ARC file's version block."""
+    fields = f"software: threadwise ARC converter\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\n".encode()
+    made = fields + b"arc-version-block: " + b" ".join(block.split()) + b"\r\n"
+    lines = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, block.decode('utf-8', 'replace'))}", f"WARC-Date: {_when(CAPTURED)}",
+        f"WARC-Block-Digest: sha1:{base32_sha1(made)}", "Content-Type: application/warc-fields", f"Content-Length: {len(made)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + made + b"\r\n\r\n"
+
+
+def warc_record(arc: dict, refers: tuple[int, str, str, str] | None) -> bytes:
+    """The WARC record of an ARC record; a revisit holds the HTTP headers and no payload. ``refers``: page id, record
+    id, URI and ARC date of the response that it revisits."""
     headers, head, payload = split_http(arc["block"])
-    block = arc["block"] if refers_to is None else head
-    when = datetime.strptime(arc["Archive-date"], "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc)
+    block = arc["block"] if refers is None else head
     digest = base32_sha1(payload)
-    name = "\n".join([arc["URL"], arc["Archive-date"], headers.get(ID_HEADER, ""), digest])
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=hashlib.sha1(name.encode()).digest()[:16], version=5)}>",
-        f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Type: {'response' if refers is None else 'revisit'}",
+        f"WARC-Record-ID: {record_id(arc['URL'], arc['Archive-date'], headers.get(ID_HEADER, ''), digest)}",
+        f"WARC-Date: {_when(arc['Archive-date'])}",
         f"WARC-Target-URI: {arc['URL']}",
         f"WARC-IP-Address: {arc['IP-address']}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -212,8 +235,9 @@ def warc_record(arc: dict, refers_to: int | None) -> bytes:
     ]
     if ID_HEADER in headers:
         lines.append(f"{ID_HEADER}: {headers[ID_HEADER]}")
-    if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"{REFERS_HEADER}: {refers_to}"]
+    if refers is not None:
+        page_id, ident, url, date = refers
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {ident}", f"WARC-Refers-To-Target-URI: {url}", f"WARC-Refers-To-Date: {_when(date)}", f"{REFERS_HEADER}: {page_id}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -241,7 +265,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, arc in enumerate(read_arc(stream)):
                     headers, _, payload = split_http(arc["block"])
                     page_id = headers.get(ID_HEADER)
-                    rows.append((path, i, int(page_id) if page_id else None, base32_sha1(payload), len(payload)))
+                    digest = base32_sha1(payload)
+                    ident = record_id(arc["URL"], arc["Archive-date"], page_id or "", digest)
+                    rows.append((path, i, int(page_id) if page_id else None, digest, len(payload), ident, arc["URL"], arc["Archive-date"]))
                     if len(rows) == 10_000:
                         yield _batch(rows, KEYS)
                         rows = []
@@ -252,12 +278,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _convert(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, at, to in zip(*(c.to_pylist() for c in batch.columns)):
-                revisits = dict(zip(at or [], to or []))
+            for path, later in zip(*(c.to_pylist() for c in batch.columns)):
+                revisits = {x["position"]: (x["page_id"], x["record_id"], x["url"], x["date"]) for x in later or []}
                 with open_members(path) as stream, new_file(folder, "pages", ".warc.gz") as (out, uri):
-                    members = Members(out)
-                    for i, arc in enumerate(read_arc(stream)):
+                    members, versions, told = Members(out), [], 0
+                    for i, arc in enumerate(read_arc(stream, versions)):
+                        for name, block in versions[told:]:
+                            members.add(warc_info(name, block))
+                        told = len(versions)
                         members.add(warc_record(arc, revisits.get(i)))
+                    members.records -= told
                 yield _batch([(uri, members.records)], MANIFEST)
 
     return run
@@ -269,11 +299,12 @@ def convert(arcs: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     files = arcs.select("path").repartition(partitions(spark))
     keys = reliable(files.mapInArrow(_digests, _ddl(KEYS)))
     same = ["digest", "n_bytes"]
-    first = keys.where(F.col("n_bytes") >= min_revisit_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))
+    first = keys.where(F.col("n_bytes") >= min_revisit_bytes).groupBy(*same).agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
     first = reliable(first)
-    later = keys.join(first, same).where("page_id IS NULL OR page_id > first")
-    lists = later.groupBy("path").agg(F.collect_list(F.struct("position", "first")).alias("later"))  # records of one file at most
-    jobs = arcs.select("path").join(lists, "path", "left").select("path", "later.position", "later.first").repartition(partitions(spark))
+    later = keys.join(first, same).where("page_id IS NULL OR page_id > first.page_id")
+    lists = later.groupBy("path").agg(F.collect_list(F.struct("position", "first.page_id", "first.record_id", "first.url", "first.date")).alias("later"))  # records of one file at most
+    jobs = arcs.select("path").join(lists, "path", "left").select("path", "later").repartition(partitions(spark))
     return reliable(jobs.mapInArrow(_convert(shared_folder(spark, "warc")), _ddl(MANIFEST)))
 
 
@@ -284,9 +315,11 @@ def _records(with_payload: bool):
                 rows, size = [], 0
                 with open_members(path) as stream:
                     for h, block in read_warc(stream):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         number = lambda k: int(h[k]) if k in h else None
                         payload = split_http(block)[2] if with_payload and h["WARC-Type"] == "response" else None
-                        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Date"], h["WARC-Target-URI"], number(ID_HEADER), h["WARC-Payload-Digest"].removeprefix("sha1:"), number(LENGTH_HEADER), number(REFERS_HEADER), payload))
+                        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Date"], h["WARC-Target-URI"], number(ID_HEADER), h["WARC-Payload-Digest"].removeprefix("sha1:"), number(LENGTH_HEADER), number(REFERS_HEADER), h.get("WARC-Refers-To"), payload))
                         size += len(payload or b"") + 200
                         if size > 4 << 20:
                             yield _batch(rows, RECORDS)
