@@ -182,15 +182,15 @@ def topk_lexical(
     query_text: str = "text",
     doc_text: str = "customer_msg",
     pad: bool = False,
+    query_postings: DataFrame | None = None,
 ) -> DataFrame:
     """The k most similar documents per query as (query, doc, score, rank, method).
 
-    Documents that share no term score 0. ``pad`` fills a query's list up to k with the first of
+    ``query_postings`` are those of ``transform_tfidf`` if they are there already. Documents that share no term score 0. ``pad`` fills a query's list up to k with the first of
     them by id, so every query gets k hits, as a full ranking would give.
     """
-    scored = top_postings(
-        transform_tfidf(model, queries, query, query_text), transform_tfidf(model, corpus, doc, doc_text), k, query, doc, settings=model.settings
-    )
+    posts = transform_tfidf(model, queries, query, query_text) if query_postings is None else query_postings
+    scored = top_postings(posts, transform_tfidf(model, corpus, doc, doc_text), k, query, doc, settings=model.settings)
     hits = best_k(scored, query, doc, k)
     if pad:
         hits = pad_hits(hits, queries.select(query), corpus.select(doc), k, query, doc)
@@ -238,17 +238,18 @@ def retrieve_verified(
     query: str = "query_id",
     query_text: str = "text",
     intent: str | None = "intent",
+    query_postings: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k human-verified resolutions per query: verified, same intent, similar enough.
 
-    A document is the resolution's query and answer together, weighed in the corpus' space.
+    ``query_postings`` are those of ``transform_tfidf`` with the intent if they are there already. A document is the resolution's query and answer together, weighed in the corpus' space.
     """
     docs = memory.where(F.col("human_verified").eqNullSafe(F.lit(True))).withColumn(
         "_doc", F.concat_ws(" ", "original_query", "human_resolution")
     )
     same = (intent,) if intent else ()
     scored = top_postings(
-        transform_tfidf(model, queries, query, query_text, same),
+        transform_tfidf(model, queries, query, query_text, same) if query_postings is None else query_postings,
         transform_tfidf(model, docs, "resolution_id", "_doc", same),
         k, query, "resolution_id", same, model.settings, model.settings.resolution_similarity,
     ).where(F.col("score") >= model.settings.resolution_similarity)

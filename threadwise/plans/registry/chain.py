@@ -25,9 +25,7 @@ def chain_decisions(spark: SparkSession, sf: str) -> DataFrame:
     corpus, model = sq.space(spark, sf)
     turns = reliable(c.classify(c.turns(spark, sf)))
     asked = turns.select("query_id", "text", F.col("classification.intent").alias("intent"))
-    historical = retrieval.attach_texts(retrieval.topk_lexical(model, asked.select("query_id", "text"), corpus, 3, pad=True), corpus)
-    verified = retrieval.retrieve_verified(model, asked, c.resolutions(spark, sf), 3)
-    hits = reliable(retrieval.merge_layers(historical, verified, 3))
+    hits = reliable(sq.both_layers(model, asked, corpus, c.resolutions(spark, sf)))
     written = drafts.verify_drafts(drafts.draft_from_templates(asked, hits, L), hits, L)
     # The service that writes the first draft times out on some messages; the template then stands in.
     late = (F.length("text") % TIMEOUT_EVERY == 0) & (F.col("attempt") == 0)

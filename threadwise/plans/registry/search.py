@@ -137,10 +137,17 @@ def f8_retrieve_verified(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "pair_id", "score", "rank", "source", "memory_intent")
 
 
+def both_layers(model: ops.TfidfModel, questions: DataFrame, corpus: DataFrame, memory: DataFrame) -> DataFrame:
+    """Best 3 of the corpus and of the verified memory; the questions are cleaned and weighed once."""
+    posts = reliable(ops.transform_tfidf(model, questions, "query_id", "text", ["intent"]))
+    historical = ops.topk_lexical(model, questions, corpus, 3, pad=True, query_postings=posts)
+    found = ops.retrieve_verified(model, questions, memory, 3, query_postings=posts)
+    return ops.merge_layers(ops.attach_texts(historical, corpus), found, 3)
+
+
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     corpus, m = space(spark, sf)
-    historical = ops.attach_texts(ops.topk_lexical(m, c.turns(spark, sf), corpus, 3, pad=True), corpus)
-    return ops.merge_layers(historical, verified(spark, sf, m), 3)
+    return both_layers(m, reliable(asked(spark, sf)), corpus, c.resolutions(spark, sf))
 
 
 def f9_merge_layers(spark: SparkSession, sf: str) -> DataFrame:
