@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadwise import support_lexicon
+from threadwise import Settings, support_lexicon
 from threadwise.operators import classify as C
 from threadwise.operators import responses
-from threadwise.operators.repeats import is_repeat
+from threadwise.operators.repeats import candidate_pairs, is_repeat
 from threadwise.operators.routing import escalate, route
 
 LEX = support_lexicon()
@@ -157,3 +157,18 @@ def test_repeats_in_long_threads_equal_brute_force(spark):
         got = {(r.conv_id, r.turn): r.is_repeat for r in is_repeat(df, LEX, near_rows=near).collect()}
         assert got == want
     assert 0 < sum(want.values()) < len(want)
+
+
+def test_sets_of_a_hot_thread_meet_by_rare_words_only(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(["please", "help", *rng.sample(words, 8)]) for _ in range(200)]  # a third of all rows
+    texts += [texts[i] + " now" for i in range(0, 100, 10)]
+    rows = [(0, i, t) for i, t in enumerate(texts)] + [(1 + i % 100, i // 100, f"other {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    got = {(r.conv_id, r.turn): r.is_repeat for r in is_repeat(df, LEX, near_rows=16).collect()}
+    assert got == brute_repeat(rows, LEX.content_stop)
+    assert all(got[0, 200 + i] for i in range(10))
+    sets = df.where("conv_id = 0").select("conv_id", "turn", F.split("text", " ").alias("tok"), F.split("text", " ").alias("con"))
+    pairs = candidate_pairs(sets, "conv_id", "turn", Settings()).count()
+    assert pairs < 0.2 * len(texts) ** 2 / 2  # all of them share two words

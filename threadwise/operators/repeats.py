@@ -71,16 +71,28 @@ def is_repeat(
 
 
 def _restated(msgs: DataFrame, key: str, order: str, settings: Settings) -> DataFrame:
-    """First messages of each token set as (key, order, _far): like an earlier set or not.
-
-    Prefix filter: sort a set's tokens by how many sets of the thread hold them, rarest first. Two sets that
-    share enough must share a token within their prefixes, so only such pairs are tested. What is
-    shuffled to find them is ids; the sets are joined to the pairs that are left.
-    """
+    """First messages of each token set as (key, order, _far): like an earlier set or not. The sets are
+    joined to the pairs that can be alike."""
     sets = msgs.groupBy(key, F.array_sort("tok").alias("tok"), F.array_sort("con").alias("con")).agg(
         F.min(order).alias(order)
     )
     sets = reliable(sets)
+    pairs = candidate_pairs(sets, key, order, settings)
+    side = lambda at, out: sets.select(key, F.col(order).alias(at), F.struct("tok", "con").alias(out))
+    met = pairs.join(side("_later", "_me"), [key, "_later"]).join(side("_earlier", "_them"), [key, "_earlier"])
+    hits = met.where(similar(F.col("_me"), F.col("_them"), settings)).select(key, F.col("_later").alias(order)).distinct()
+    return sets.select(key, order).join(hits.withColumn("_far", F.lit(True)), [key, order], "left").select(
+        key, order, F.coalesce("_far", F.lit(False)).alias("_far")
+    )
+
+
+def candidate_pairs(sets: DataFrame, key: str, order: str, settings: Settings) -> DataFrame:
+    """(key, _later, _earlier) of all sets of a thread that can be alike.
+
+    Prefix filter: a set's tokens are sorted by how many sets of the thread hold them, rarest first. Two sets that
+    share enough must share a token within their prefixes, so only such pairs come out. What is
+    shuffled to find them is ids.
+    """
     size = {"tok": F.size("tok"), "con": F.size("con")}
     keep = {
         "tok": size["tok"] - F.ceil(size["tok"] * F.lit(settings.repeat_jaccard)).cast("int") + 1,
@@ -95,10 +107,4 @@ def _restated(msgs: DataFrame, key: str, order: str, settings: Settings) -> Data
     # a word of one set only meets nothing
     posts = posts.where((F.col("_at") <= F.col("keep")) & (F.col("met") > 1)).select(key, "kind", "t", F.col(order).alias("_later"))
     earlier = posts.withColumnRenamed("_later", "_earlier")
-    pairs = posts.join(earlier, [key, "kind", "t"]).where("_earlier < _later").select(key, "_later", "_earlier").distinct()
-    side = lambda at, out: sets.select(key, F.col(order).alias(at), F.struct("tok", "con").alias(out))
-    met = pairs.join(side("_later", "_me"), [key, "_later"]).join(side("_earlier", "_them"), [key, "_earlier"])
-    hits = met.where(similar(F.col("_me"), F.col("_them"), settings)).select(key, F.col("_later").alias(order)).distinct()
-    return sets.select(key, order).join(hits.withColumn("_far", F.lit(True)), [key, order], "left").select(
-        key, order, F.coalesce("_far", F.lit(False)).alias("_far")
-    )
+    return posts.join(earlier, [key, "kind", "t"]).where("_earlier < _later").select(key, "_later", "_earlier").distinct()
