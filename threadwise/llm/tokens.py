@@ -32,7 +32,7 @@ class WordEncoder:
     """``max_words`` and ``max_pieces`` bound the memory of a worker. A full table is begun anew with the words
     met most often; tables change no result."""
 
-    def __init__(self, path: str, max_words: int = 250_000, max_pieces: int = 150_000):
+    def __init__(self, path: str, max_words: int = 600_000, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,20 +62,27 @@ class WordEncoder:
         self.ends = np.concatenate([upto, np.zeros(1 << 18, dtype=np.int64)])
         self.met = met[kept] // 2
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
-        text = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        cut, pieces = _PIECES.findall(text.lower()), self.pieces
-        for piece in cut:
-            if piece not in pieces:
-                spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                pieces[piece] = tuple([t.id for t in self.model.tokenize(spelt)])
-        return pieces[cut[0]] if len(cut) == 1 else tuple(chain.from_iterable([pieces[p] for p in cut]))
-
-    def _learn(self, words: set[bytes]) -> None:
+    def _spell(self, piece: str) -> tuple[int, ...]:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return tuple([t.id for t in self.model.tokenize(spelt)])
+
+    def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each word: pieces are cut for all words first, then each new piece is looked up once."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        cuts = list(map(_PIECES.findall, map(str.lower, texts)))
+        odd = [i for i, (m, t) in enumerate(zip(map(_PLAIN.fullmatch, texts), texts)) if m is None or "<|" in t]
+        for i in odd:
+            cuts[i] = []
+        pieces, ids = self.pieces, self.tokenizer
+        pieces.update((p, self._spell(p)) for p in set(chain.from_iterable(cuts)).difference(pieces))
+        found = [pieces[c[0]] if len(c) == 1 else tuple(chain.from_iterable([pieces[p] for p in c])) for c in cuts]
+        for i in odd:
+            found[i] = tuple(ids.encode(texts[i], add_special_tokens=False).ids)
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
         n = len(self.at)
-        found = list(map(self._word, words))
+        found = self._words(words)
         self.at.update(zip(words, range(n, n + len(found))))
         counts, ids = list(map(len, found)), list(chain.from_iterable(found))
         end, more = int(self.ends[n]), n + len(counts) + 1
@@ -91,7 +98,7 @@ class WordEncoder:
             self._renew()
         if len(self.pieces) > self.max_pieces:
             self.pieces = {}
-        new = set(chain.from_iterable(words)).difference(self.at)
+        new = list(set(chain.from_iterable(words)).difference(self.at))
         if new:
             self._learn(new)
         per_text = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
