@@ -11,7 +11,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
 
 
