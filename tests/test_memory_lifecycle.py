@@ -68,6 +68,25 @@ def test_token_conflicts_equal_brute_force(spark):
     assert got == want and any(want.values())
 
 
+def test_token_conflicts_shuffle_few_pairs_that_are_not_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        q = [f"w{min(int(rng.expovariate(0.02)), 299)}" for _ in range(60)]
+        rows.append((i, " ".join(q), rng.choice(["yes", "no"]), "a", True))
+    for i in range(0, 60, 2):  # some are nearly alike
+        rows[i + 1] = (i + 1, rows[i][1] + " extra", "something else", "a", True)
+    sets = [(set(r[1].split()), {r[2]}) for r in rows]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    want = {r[0]: any(jac(sets[i][0], sets[e][0]) >= 0.75 and sets[i][1].isdisjoint(set(rows[e][2].split())) for e in range(i)) for i, r in enumerate(rows)}
+    met, distinct = [], type(spark.range(1)).distinct
+    monkeypatch.setattr(type(spark.range(1)), "distinct", lambda df: (met.append(df.count()) if df.columns == ["x", "y"] else None, distinct(df))[1])
+    df = records(spark, rows)
+    got = {r.seq: r.conflict_flag for r in M.flag_conflicts_by_tokens(df, df.limit(0)).collect()}
+    assert got == want and sum(want.values()) >= 30
+    assert sum(met) < 10 * len(rows)
+
+
 def machine(events):
     """Plain replay of one conversation: (kind, role, status) to final state and counts."""
     state, rejected, reopened, log = "AI_ACTIVE", 0, 0, []
