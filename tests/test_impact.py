@@ -60,3 +60,16 @@ def test_copies_empty_texts_and_no_rows(spark):
     assert sorted(map(tuple, got.collect())) == [("q1", "d1", 1.0), ("q1", "d2", 1.0)]
     assert I.top_postings(asked.limit(0), corpus, 2, "q", "d").count() == 0
     assert I.top_postings(asked, corpus.limit(0), 2, "q", "d").count() == 0
+
+
+def test_right_side_is_read_and_not_copied_for_every_left_block(spark):
+    from threadwise.operators.blocks import meet
+
+    def pairs(mine, theirs):
+        return pd.DataFrame([(i, j) for block in theirs for i in mine["a"] for j in block["b"]], columns=["a", "b"])
+
+    ours, theirs = spark.range(300).withColumnRenamed("id", "a"), spark.range(90).withColumnRenamed("id", "b")
+    met = meet(ours, "a", theirs, "b", pairs, "a long, b long", rows=20, right_rows=40)
+    assert "CoGroup" not in met._jdf.queryExecution().toString()
+    assert met.count() == met.distinct().count() == 300 * 90
+    assert meet(ours, "a", theirs.limit(0), "b", pairs, "a long, b long").count() == 0
