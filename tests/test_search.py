@@ -222,3 +222,21 @@ def test_cells_without_rows(spark):
     index = D.fit_cells(none, "pair_id")
     ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert D.topk_cells(index, ask).count() == 0
+
+
+def test_projection_of_many_texts_holds_few_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    basis = rng.standard_normal((500, 50))
+    sizes = [*rng.integers(0, 40, 8000), D.NONZEROS + 7, 0, 3]
+    terms, weights = pd.Series([rng.integers(0, 500, n) for n in sizes]), pd.Series([rng.random(n) for n in sizes])
+    tracemalloc.start()
+    got = D._project(terms, weights, basis)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, [w @ basis[t] for t, w in zip(terms, weights)])
+    assert peak < got.nbytes + 3 * 8 * 50 * D.NONZEROS
+    assert D._project(terms[:0], weights[:0], basis).shape == (0, 50)
