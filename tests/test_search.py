@@ -240,3 +240,24 @@ def test_projection_of_many_texts_holds_few_at_a_time():
     assert np.allclose(got, [w @ basis[t] for t, w in zip(terms, weights)])
     assert peak < got.nbytes + 3 * 8 * 50 * D.NONZEROS
     assert D._project(terms[:0], weights[:0], basis).shape == (0, 50)
+
+
+def test_scores_from_basis_hold_a_row_per_text(spark, tmp_path, monkeypatch):
+    from threadwise.plans.registry import search
+
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(30)]
+    say = lambda: " ".join(rng.choices(words, k=8))
+    rows = [(c, t, "assistant" if t % 2 else "user", "?" if c == 5 and t == 0 else say()) for c in range(25) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    written, reliable = [], search.reliable
+
+    def noted(df):
+        out = reliable(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(search, "reliable", noted)
+    got = search.f4_scores_from_basis(spark, str(tmp_path)).collect()
+    assert len(got) == 50 and all(r.n == r.n_agree == 3 for r in got)
+    assert all(n <= 3 * 50 for columns, n in written if {"query_id", "pair_id"} & set(columns))
