@@ -52,6 +52,40 @@ def test_products_before_and_after():
     assert products < 0.5 * every
 
 
+def test_frequent_terms_are_bounded_by_length_and_not_added_up():
+    # every document has a few of eight common terms and some rare ones; what a query adds up is its rare lists
+    rng = random.Random(7)
+
+    def made(key, n):
+        out = []
+        for i in range(n):
+            terms = sorted(set(rng.sample(range(8), 5)) | {8 + rng.randrange(3000) for _ in range(12)})
+            w = np.array([rng.uniform(0.5, 1.5) if t < 8 else rng.uniform(4, 6) for t in terms])
+            out.append((f"{key}{i:05d}", np.array(terms), w / np.linalg.norm(w), None))
+        return pd.DataFrame(out, columns=[key, "term_ids", "weights", "_same"])
+
+    ours, theirs = made("q", 30), made("d", 4000)
+    got, products = I.best_in_blocks(ours, theirs, "q", "d", 3)
+    want = brute(ours, theirs, 3)
+    assert [tuple(r) for r in got[["q", "d"]].to_numpy()] == [(a, b) for a, b, _ in want]
+    spread = pd.Series(np.concatenate(theirs.term_ids.tolist())).value_counts()
+    every = sum(int(spread.get(t, 0)) for terms in ours.term_ids for t in terms)
+    assert products < 0.1 * every
+
+
+def test_tiles_are_built_once_and_read_by_every_block_of_questions(spark, monkeypatch):
+    docs = [(f"d{i}", t, 0.6 if t else 0.8, "x" if i % 2 else None) for i in range(30) for t in (0, i + 1)]
+    corpus = I.packed(spark.createDataFrame(docs, "d string, term_id int, weight double, s string"), "d", ["s"])
+    written = I.tiles(corpus, "d").collect()
+    assert sum(len(r.ids) for r in written) == 30 and {r._same for r in written} == {None, "1:x"}
+    back = [(same, list(ids), tile) for same, tile, ids in I._read([pd.DataFrame([r.asDict() for r in written])])]
+    assert sorted(i for _, ids, _ in back for i in ids) == sorted({d[0] for d in docs})
+    assert all(len(tile.own_terms) == 2 * len(ids) == len(tile.docs) and np.allclose(tile.norms[-1], 1) for _, ids, tile in back)
+    built = []
+    monkeypatch.setattr(I.Tile, "of", classmethod(lambda *a: built.append(1)))
+    assert len(list(I._read([pd.DataFrame([r.asDict() for r in written])]))) == len(written) and not built
+
+
 def test_copies_empty_texts_and_no_rows(spark):
     docs = [("d1", 1, 1.0), ("d2", 1, 1.0), ("d3", 1, 0.6), ("d3", 2, 0.8), ("d4", 9, 1.0)]
     corpus = spark.createDataFrame(docs, "d string, term_id int, weight double")
