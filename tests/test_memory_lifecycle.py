@@ -2,6 +2,7 @@ import random
 from dataclasses import replace
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
@@ -53,6 +54,39 @@ def test_conflicts_equal_brute_force_in_one_and_many_blocks(spark):
         assert {r.seq: r.conflict_flag for r in flagged.collect()} == want
 
 
+def test_common_subsequences_of_many_pairs_equal_those_of_each(spark):
+    rng = random.Random(3)
+    few, many = "abc é", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    for letters in (few, many):
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        mine = [text(n) for n in (0, 1, 2, 62, 63, 64, 125, 126, 127, 300, M.PLACES * M.WORDS)]
+        theirs = [text(rng.randrange(700)) for _ in range(20)] + ["", "xyz", few]
+        size = np.array([len(t) for t in mine])
+        i, j = (x.ravel() for x in np.mgrid[: len(mine), : len(theirs)])
+        got = M._common_of_pairs(*M._place_words(mine), size, i, theirs, j)
+        want = np.array([M._common(M._places(mine[a]), len(mine[a]), theirs[b]) for a, b in zip(i, j)])
+        # an alphabet that is folded may only raise the bound
+        assert (got >= want).all() and (letters == many or (got == want).all())
+
+
+def test_conflicts_of_long_texts_and_many_letters_equal_brute_force(spark):
+    rng = random.Random(6)
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 200)))
+    base = ["".join(rng.choice(s) for _ in range(n)) for s in ("abcdef", letters) for n in (100, 190, 490, 520, 600)]
+    rows = []
+    for i in range(100):
+        q = list(rng.choice(base))
+        for _ in range(rng.randrange(len(q) // rng.choice([4, 12, 40]))):
+            q[rng.randrange(len(q))] = rng.choice("abcdef" + letters)
+        rows.append((i, "".join(q), rng.choice(["we will refund the duplicate", "please reinstall the app"]), rng.choice(["a", None]), True))
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = {r[0]: any(e[3] == r[3] and ratio(r[1], e[1]) >= 0.75 and ratio(r[2], e[2]) < 0.6 for e in rows[: r[0]]) for r in rows}
+    assert 3 < sum(want.values()) < len(want)
+    df = records(spark, rows)
+    got = {r.seq: r.conflict_flag for r in M.flag_conflicts(df, df.limit(0)).collect()}
+    assert got == want
+
+
 def test_token_conflicts_equal_brute_force(spark):
     rows = noisy_records(random.Random(8), 80, 3)
     sets = [(set(r[1].lower().split()), set(r[2].split())) for r in rows]
