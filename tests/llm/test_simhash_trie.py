@@ -3,8 +3,10 @@ import random
 import numpy as np
 
 from tests.llm import brute
+from threadwise.llm import components as component_rounds
 from threadwise.llm import simhash_trie as s
 from threadwise.llm.components import components
+from threadwise.session import reliable
 
 
 def test_equal_to_brute_force(spark, monkeypatch):
@@ -54,3 +56,17 @@ def test_odd_rows(spark):
     assert by[1].fingerprint == by[2].fingerprint == by[3].fingerprint == "0" * 16 and by[3].component_id == 1
     assert by[7].component_id == 6 and by[None].component_id is None
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string, fingerprint string")).collect() == []
+
+
+def test_a_round_of_components_is_written_in_short_plans(spark, monkeypatch):
+    shuffles = []
+
+    def noted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return reliable(df)
+
+    monkeypatch.setattr(component_rounds, "reliable", noted)
+    links = [(i, i + 1) for i in range(1, 30)] + [(50, i) for i in range(60, 90)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 1 for i in range(1, 31)} | {i: 50 for i in (50, *range(60, 90))}
+    assert max(shuffles) <= 3
