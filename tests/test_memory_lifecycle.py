@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from dataclasses import replace
 from difflib import SequenceMatcher
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadwise import fixed_values as fixed
 from threadwise.config import Settings
+from threadwise.operators import alike
 from threadwise.operators import lifecycle as L
 from threadwise.operators import memory as M
 from threadwise.operators import routing
@@ -121,6 +123,39 @@ def test_token_conflicts_shuffle_few_pairs_that_are_not_alike(spark, monkeypatch
     assert sum(met) < 10 * len(rows)
 
 
+def test_token_conflicts_in_many_files_equal_brute_force_and_shuffle_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(alike, "FILE_ROWS", 40)
+    rng, rows = random.Random(21), []
+    for i in range(500):
+        kind, q = rng.choice(["a", "b", None]), [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 40, 200, 260]))]
+        if i and rng.random() < 0.3:  # an edited copy of an earlier one
+            kind, q = rows[-1][3], rows[-1][1].split()
+            for _ in range(rng.randrange(len(q) // 4 + 1)):
+                q[rng.randrange(len(q))] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(q), rng.choice(["yes", "no", "", "yes of course"]), kind, True))
+    rows = [*rows, *[(500 + k, *rows[7 * k][1:]) for k in range(30)], (600, "  ", "no", "a", True), (None, *rows[3][1:]), (None, rows[4][1], "never", rows[4][3], True)]
+    old, new = rows[::3], [r for k, r in enumerate(rows) if k % 3]
+    sets = lambda r: (set(r[1].split()), set(r[2].split()))
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+
+    def clash(a, b):
+        (p, r), (q, t) = sets(a), sets(b)
+        return a[3] == b[3] and (p, r) != (q, t) and jac(p, q) >= 0.75 and jac(r, t) < 0.6  # equal records fold
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in [store.executorList(True).apply(0)])
+    for known in ([], old):
+        mine = new if known else rows
+        # a new record without a number is held as one of the memory
+        before = lambda a, e: e in known or e[0] is None or e[0] < a[0]  # noqa: B023, E731
+        want = Counter((a[0], a[0] is not None and any(before(a, e) and clash(a, e) for e in known + mine if e is not a)) for a in mine)
+        start = shuffled()
+        got = M.flag_conflicts_by_tokens(records(spark, mine), records(spark, known))
+        got = Counter((r.seq, r.conflict_flag) for r in got.select("seq", "conflict_flag").collect())
+        assert got == want and sum(n for (_, hit), n in want.items() if hit) > 30
+        assert shuffled() - start < 4 * sum(len(r[1]) for r in known + mine)
+
+
 def machine(events):
     """Plain replay of one conversation: (kind, role, status) to final state and counts."""
     state, rejected, reopened, log = "AI_ACTIVE", 0, 0, []
